@@ -86,7 +86,7 @@ _NUMBER = r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 def _tidy(mag: Column) -> Column:
     """One way of writing numbers: narrow digits, decimal points, e-notation, no uncertainty."""
-    s = F.trim(F.translate(mag, _WIDE, _NARROW))
+    s = F.regexp_replace(F.translate(mag, _WIDE, _NARROW), r"^\s+|\s+$", "")
     s = F.regexp_replace(s, r"(?<=[0-9]),(?=[0-9])", ".")
     s = F.regexp_replace(s, r"\s*(?:±|\+/-)\s*[0-9.]+", "")
     s = F.regexp_replace(s, r"(?i)\bm0(?![.0-9])", "Mo")
