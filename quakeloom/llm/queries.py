@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quakeloom.llm.components import p6_found
 from quakeloom.llm.confusables import p10_found
+from quakeloom.llm.linkage import p3_found
+from quakeloom.llm.mixing import p9_mix, p9_shares
 from quakeloom.llm.nearest_time import p5_found
+from quakeloom.llm.packing import p8_pack
 from quakeloom.llm.survivor import p7_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p8_pack": p8_pack,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
 
