@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quakeloom.operators.regions import p4_found
 from quakeloom.operators.timestamps import p2_found
 from quakeloom.operators.units import p1_found
+from quakeloom.plans import catalog, picks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
+QUERIES |= catalog.QUERIES | picks.QUERIES
 
 SQL: dict[str, str] = {
     "p4_found": """
@@ -26,3 +28,5 @@ FROM catalog_event e JOIN reloc_zone z
   ON e.lat BETWEEN z.lat_min AND z.lat_max AND e.lon BETWEEN z.lon_min AND z.lon_max
 """,
 }
+
+SQL |= catalog.SQL | picks.SQL
