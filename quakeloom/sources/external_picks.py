@@ -25,8 +25,9 @@ def read_picks(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def _instant(text: Column) -> Column:
-    forms = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss.SS", "yyyy-MM-dd'T'HH:mm:ss")
-    return F.unix_micros(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in forms]))
+    """Microseconds of an ISO time with or without fraction; null for anything else."""
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?$"), text)
+    return F.unix_micros(F.concat(iso, F.lit("Z")).try_cast("timestamp"))
 
 
 def _error(phase: Column) -> Column:
