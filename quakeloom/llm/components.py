@@ -3,7 +3,7 @@
 Vertices are hashed into blocks, and every pair of blocks is one cell of a grid of edge
 partitions, so that the edges of a much-linked vertex lie in all cells of its row and
 column. A round runs union-find inside every cell, exchanges the representatives along
-rows and columns (the least one of each vertex wins) and keeps as new edges only the
+rows and columns (the first one of each vertex in a mixed order wins) and keeps as new edges only the
 disagreements between representatives. It ends when none is left.
 """
 
@@ -19,12 +19,26 @@ from quakeloom.session import cut, staged, table
 CELL_EDGES = 50_000  # edges that a cell holds on average
 
 
-def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The least vertex of each vertex's component within one cell."""
+def _priority(vertices: np.ndarray, seed: int) -> np.ndarray:
+    """A mixed order of the vertices, another for each round, so that chains in the order of their ids shrink too."""
+    with np.errstate(over="ignore"):
+        x = vertices.astype(np.uint64) + np.uint64((2 * seed + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+
+def _union_find(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """Each vertex of one cell with the vertex of least priority in its component within the cell."""
     names, ends = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
+    order = _priority(names, seed)
+    by_priority = np.lexsort((names, order))
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[by_priority] = np.arange(len(names))
     parent = list(range(len(names)))
+    ends = rank[ends].tolist()
     half = len(pdf)
-    for a, b in zip(ends[:half].tolist(), ends[half:].tolist(), strict=True):
+    for a, b in zip(ends[:half], ends[half:], strict=True):
         while parent[a] != a:
             parent[a] = parent[parent[a]]
             a = parent[a]
@@ -35,17 +49,17 @@ def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
             parent[b] = a
         else:
             parent[a] = b
-    for i, p in enumerate(parent):  # parents are smaller, so they are final when reached
+    for i, p in enumerate(parent):  # parents come first, so they are final when reached
         parent[i] = parent[p]
-    return pd.DataFrame({"v": names, "rep": names[np.array(parent, dtype=np.int64)]})
-
-
+    root = by_priority[np.array(parent, dtype=np.int64)]
+    return pd.DataFrame({"v": names[by_priority], "order": order[root], "rep": names[root]})
 
 
-def _local(edges: DataFrame, blocks: int) -> DataFrame:
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+def _local(edges: DataFrame, blocks: int, seed: int) -> DataFrame:
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(blocks))
     grid = edges.withColumn("row", block("u")).withColumn("col", block("v"))
-    return grid.groupBy("row", "col").applyInPandas(lambda pdf: _union_find(pdf), "v bigint, rep bigint")
+    schema = "v bigint, order bigint, rep bigint"
+    return grid.groupBy("row", "col").applyInPandas(lambda pdf: _union_find(pdf, seed), schema)
 
 
 def connected_groups(edges: DataFrame, cell_edges: int = CELL_EDGES) -> DataFrame:
@@ -62,19 +76,21 @@ def connected_groups(edges: DataFrame, cell_edges: int = CELL_EDGES) -> DataFram
     steps: list[DataFrame] = []
     while count or not steps:
         blocks = max(1, int(np.ceil(np.sqrt(count / cell_edges))))
-        reps = cut(_local(ends, blocks))
-        best = reps.groupBy("v").agg(F.min("rep").alias("parent"))
-        step = cut(best)
+        reps = cut(_local(ends, blocks, len(steps)))
+        step = cut(reps.groupBy("v").agg(F.min(F.struct("order", "rep")).alias("b")).select("v", F.col("b.rep").alias("parent")))
         steps.append(step)
+        if blocks == 1:  # one cell held all edges: nothing is left to exchange
+            break
         # a vertex with two representatives links their components
         ends = reps.join(step, "v").where(F.col("rep") != F.col("parent"))
-        ends = cut(ends.select(F.col("parent").alias("u"), F.col("rep").alias("v")).distinct())
+        ends = cut(ends.select(F.least("parent", "rep").alias("u"), F.greatest("parent", "rep").alias("v")).distinct())
         count = ends.count()
-    groups = steps[0].select("v", F.col("parent").alias("group"))
-    for step in steps[1:]:
-        later = step.select(F.col("v").alias("group"), "parent")
-        groups = groups.join(later, "group", "left").select("v", F.coalesce("parent", "group").alias("group"))
-    return groups
+    roots = steps[-1]
+    for step in reversed(steps[:-1]):
+        later = roots.select(F.col("v").alias("parent"), F.col("parent").alias("root"))
+        roots = cut(step.join(later, "parent", "left").select("v", F.coalesce("root", "parent").alias("parent")))
+    least = roots.groupBy("parent").agg(F.min("v").alias("group"))
+    return roots.join(least, "parent").select("v", "group")
 
 
 def normal_ref(ref: Column) -> Column:
@@ -95,6 +111,10 @@ def report_edges(reports: DataFrame, links: DataFrame) -> DataFrame:
         normal_ref(F.col("ref_a")).alias("a"), normal_ref(F.col("ref_b")).alias("b")
     )
     kept = kept.where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct()
+    # a ref that names no report makes its link void
+    every = ids.select("name").unionByName(headers.select("name")).distinct()
+    for side in ("a", "b"):
+        kept = kept.join(every.withColumnRenamed("name", side), side, "left_semi")
     used = kept.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     named = ids.where(F.col("name").isNotNull()).unionByName(headers.join(used, "name", "left_semi"))
     named = staged(named.distinct(), "names")

@@ -25,4 +25,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
 }
 
-SQL: dict[str, str] = {}
+_ENTITY = r"upper(regexp_extract(regexp_replace(code, '\s', '', 'g'), '^([^.]+\.[^.]+)', 1))"
+_REF = r"""trim(regexp_replace(regexp_replace(upper(regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g')), '^# ?', '# ')),
+  '(^|[^0-9.])0+([0-9])', '\1\2', 'g'), '(^|[^0-9.])0+([0-9])', '\1\2', 'g'))"""
+_OK = "len(list_filter(string_split(t[{0}], ':'), lambda x: TRY_CAST(x AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST(x AS DOUBLE)) AND TRY_CAST(x AS DOUBLE) <> -999 AND ({1} OR TRY_CAST(x AS DOUBLE) >= 0))) > 0"
+_FIELDS = {"dep": (9, "TRUE"), "mag": (10, "TRUE"), "erh": (14, "FALSE"), "erv": (15, "FALSE"), "az_gap": (16, "FALSE"), "rms": (17, "FALSE")}
+_BEST = "row_number() OVER (PARTITION BY public_id ORDER BY {0} trust_rank NULLS LAST, revised_ts DESC NULLS LAST, report_uid)"
+
+SQL: dict[str, str] = {
+    "p5_found": f"""
+WITH p AS (SELECT DISTINCT pick_id, {_ENTITY} AS c, upper(substr(trim(phase), 1, 1)) AS ph,
+  coalesce(epoch_us(arrival_ts), epoch_us(event_dt) + CAST(round(tt_s * 1e6) AS BIGINT)) AS us FROM phase_pick LEFT JOIN catalog_event USING (event_uid)),
+t AS (SELECT DISTINCT temp_id, {_ENTITY} AS c, upper(substr(trim(phase), 1, 1)) AS ph, epoch_us(arrival_ts) AS us FROM temp_pick)
+SELECT temp_id, pick_id FROM (SELECT temp_id, pick_id, row_number() OVER (PARTITION BY temp_id ORDER BY abs(t.us - p.us), pick_id) AS n
+  FROM t JOIN p USING (c, ph) WHERE abs(t.us - p.us) <= 1500000) WHERE n = 1
+""",
+    "p6_found": f"""
+WITH RECURSIVE r AS (SELECT DISTINCT report_uid, {_REF.format("public_id")} AS id, {_REF.format("header_line")} AS h FROM event_report),
+names AS (SELECT report_uid, id AS name FROM r WHERE id IS NOT NULL UNION SELECT report_uid, h FROM r WHERE h IS NOT NULL),
+k AS (SELECT DISTINCT {_REF.format("ref_a")} AS a, {_REF.format("ref_b")} AS b FROM report_link WHERE decision = 'k'),
+v AS (SELECT row_number() OVER () AS link, a, b FROM k WHERE a IN (SELECT name FROM names) AND b IN (SELECT name FROM names)),
+m AS (SELECT 'l' || link AS hub, report_uid FROM v JOIN names ON name IN (a, b) UNION SELECT 'i' || id, report_uid FROM r WHERE id IS NOT NULL),
+s AS (SELECT hub, min(report_uid) AS first_uid FROM m GROUP BY hub),
+e AS (SELECT m.report_uid AS x, s.first_uid AS y FROM m JOIN s USING (hub) UNION SELECT s.first_uid, m.report_uid FROM m JOIN s USING (hub)),
+reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+g AS (SELECT x AS report_uid, min(y) AS group_uid FROM reach GROUP BY x)
+SELECT report_uid, group_uid FROM g WHERE group_uid IN (SELECT group_uid FROM g GROUP BY group_uid HAVING count(*) > 1)
+""",
+    "p7_found": rf"""
+WITH h AS (SELECT DISTINCT report_uid, public_id, trust_rank, revised_ts, regexp_split_to_array(regexp_replace(header_line, '^\s*#?\s*|\s+$', '', 'g'), '\s+') AS t,
+  coalesce(len(list_distinct(list_transform(list_filter(picks, lambda x: x IS NOT NULL), lambda x: trim(substr(x, 1, 9)) || '|' || upper(trim(substr(x, 23, 6)))))), 0) AS n
+  FROM event_report LEFT JOIN source_info USING (source)
+  WHERE public_id IN (SELECT public_id FROM event_report GROUP BY public_id HAVING count(DISTINCT report_uid) > 1))
+"""
+    + " UNION ALL ".join(
+        f"SELECT public_id, '{f}' AS field_name, report_uid FROM (SELECT public_id, report_uid, {_BEST.format('')} AS k FROM h WHERE len(t) = 17 AND {_OK.format(*a)}) WHERE k = 1"
+        for f, a in _FIELDS.items()
+    )
+    + f" UNION ALL SELECT public_id, 'picks', report_uid FROM (SELECT public_id, report_uid, {_BEST.format('n DESC,')} AS k FROM h WHERE n > 0) WHERE k = 1",
+}
