@@ -189,3 +189,30 @@ def fused(catalogs: list[DataFrame], picks: DataFrame | None = None, t: Threshol
         added = new.select("id", "us", "mag_type", "mag_author", *[F.concat(pad, F.array(c)).alias(c + "s") for c in stats], F.array("id").alias("members"))
         main = cut(kept.unionByName(added))
     return main
+
+
+def first_come(pairs: DataFrame, only_choice: bool = False) -> DataFrame:
+    """(id1, id2) as if the rows of the first catalog chose in the order of seq among what is still free.
+
+    pairs: id1, seq (one for each id1, all different), id2, km, dt_s. A row takes its free candidate of least
+    (km, dt_s, id2); with only_choice it takes one only if exactly one is free, else none. In
+    each round those rows choose that no undecided earlier row can interfere with, so that the result is that of the order.
+    """
+    left = cut(pairs.select("id1", "seq", "id2", "km", "dt_s").distinct())
+    taken: DataFrame | None = None
+    while left.take(1):
+        first = left.groupBy("id2").agg(F.min("seq").alias("first"))
+        best = left.groupBy("id1").agg(
+            F.min(F.struct("km", "dt_s", "id2")).alias("b"), F.count("*").alias("n"), F.first("seq").alias("own")
+        )
+        if only_choice:  # decided once it is the first of all its candidates
+            asked = left.join(first, "id2").groupBy("id1").agg(F.min(F.col("seq") == F.col("first")).alias("free"))
+            decided = cut(best.join(asked.where("free"), "id1").select("id1", "b.id2", "n"))
+            won = decided.where("n = 1").select("id1", "id2")
+        else:  # decided once it is the first of its best candidate
+            wish = best.select("id1", "own", "b.id2")
+            decided = cut(wish.join(first, "id2").where(F.col("own") == F.col("first")).select("id1", "id2"))
+            won = decided
+        taken = won if taken is None else taken.unionByName(won)
+        left = cut(left.join(decided.select("id1"), "id1", "left_anti").join(won.select("id2"), "id2", "left_anti"))
+    return pairs.select("id1", "id2").limit(0) if taken is None else taken

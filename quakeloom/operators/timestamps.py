@@ -191,7 +191,7 @@ def to_instants(rows: DataFrame, sources: DataFrame, path: str | None = None) ->
     texts without zone denote nothing. A local time that occurs twice is the later one not
     after received_ts, the earlier if received_ts is null; one that never occurs is read with
     the offset before the change. Null, empty and unusable texts and impossible dates give
-    null. Rows stay as they are, repeated ones too. path: where the dictionary is kept
+    null. Rows stay as they are, repeated ones too; a column utc_us of theirs is replaced. path: where the dictionary is kept
     between runs; without it a new table in the shared folder.
     """
     spark = rows.sparkSession
@@ -199,7 +199,8 @@ def to_instants(rows: DataFrame, sources: DataFrame, path: str | None = None) ->
     zones = sources.select(
         F.col("source").alias("_source"), F.col("time_zone").alias("_tz"), F.col("date_order").alias("_order")
     ).dropDuplicates(["_source"])
-    keyed = rows.join(zones, F.col("source") == F.col("_source"), "left")
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")
+    keyed = rows.select(whole, "event_dt", "source", "received_ts").join(zones, F.col("source") == F.col("_source"), "left")
     known = dictionary(
         keyed.select("event_dt", F.col("_tz").alias("time_zone"), F.col("_order").alias("date_order")), path
     ).where(F.col("first_us").isNotNull())
@@ -209,7 +210,8 @@ def to_instants(rows: DataFrame, sources: DataFrame, path: str | None = None) ->
     on = (F.col("event_dt") == F.col("_dt")) & F.col("_tz").eqNullSafe(F.col("_z")) & F.col("_order").eqNullSafe(F.col("_o"))
     received = F.unix_micros("received_ts")
     utc = F.when(F.col("second_us") <= received, F.col("second_us")).otherwise(F.col("first_us"))
-    return keyed.join(known, on, "left").select(*[F.col(f"`{c}`") for c in rows.columns], utc.alias("utc_us"))
+    old = [F.col(f"_row.`{c}`").alias(c) for c in rows.columns if c != "utc_us"]
+    return keyed.join(known, on, "left").select(*old, utc.alias("utc_us"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,10 +197,11 @@ def to_local_magnitude(mags: DataFrame, models: DataFrame) -> DataFrame:
     mag_author, seg, slope, intercept. Rows without a usable number, with a missing-value
     mark or with an unknown unit beside the number get null in magnitude and ml. A null or
     unknown remark or type says nothing; a null author has no model. Empty tables give empty
-    results; repeated rows stay repeated.
+    results; repeated rows stay repeated. Columns of mags named like an added one are replaced.
     """
     spark = mags.sparkSession
-    rows = with_spellings(mags)
+    needed = [F.col(c) for c in ("mag", "mag_type", "mag_author", "remark")]
+    rows = with_spellings(mags.select(F.struct(*[F.col(f"`{c}`") for c in mags.columns]).alias("_row"), *needed))
     used = rows.where(F.col("_value").isNotNull())
     spellings = (
         used.select(
@@ -255,14 +256,9 @@ def to_local_magnitude(mags: DataFrame, models: DataFrame) -> DataFrame:
     m = F.col("_magnitude")
     ml = F.when(F.col("_slope").isNotNull(), F.col("_slope") * m + F.col("_intercept")).otherwise(m)
     converted = m.isNotNull() & (as_number.isNull() | (F.abs(as_number - m) > 1e-9))
-    return rows.select(
-        *[F.col(f"`{c}`") for c in mags.columns],
-        m.alias("magnitude"),
-        F.col("_unit").alias("unit"),
-        F.col("_scale").alias("scale"),
-        ml.alias("ml"),
-        converted.alias("is_converted"),
-    )
+    new = {"magnitude": m, "unit": F.col("_unit"), "scale": F.col("_scale"), "ml": ml, "is_converted": converted}
+    old = [F.col(f"_row.`{c}`").alias(c) for c in mags.columns if c not in new]
+    return rows.select(*old, *[c.alias(n) for n, c in new.items()])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

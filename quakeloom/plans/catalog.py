@@ -70,6 +70,25 @@ def match_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.two_phase(matching.candidates(one, two)).select("id1", "id2", "phase", fixed(F.col("cost")).alias("cost"))
 
 
+def _in_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = _two_sources(spark, sf_dir)
+    close = matching.candidates(one, two).where("dt_s <= 2 AND km <= 15").select("id1", "id2", "km", "dt_s")
+    order = table(spark, sf_dir, "catalog_event").select(F.col("event_uid").alias("id1"), "seq")
+    return close.join(order, "id1")
+
+
+@query()
+def mag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one source, in file order, with the nearest free event of another within 2 s and 15 km."""
+    return matching.first_come(_in_file_order(spark, sf_dir))
+
+
+@query()
+def sequential_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one source, in file order, with another's only free event within 2 s and 15 km."""
+    return matching.first_come(_in_file_order(spark, sf_dir), only_choice=True)
+
+
 _CHORD = "(6371e0 - coalesce({0}.dep, 0e0))"
 _XYZ = " + ".join(
     f"pow({_CHORD.format('a')} * {t.format('a')} - {_CHORD.format('b')} * {t.format('b')}, 2)"

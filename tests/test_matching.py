@@ -104,3 +104,17 @@ def test_time_unique(spark):
     one = spark.createDataFrame([(1, 0), (2, 100), (3, 1000)], "id bigint, us bigint")
     two = spark.createDataFrame([(11, 5), (12, 101), (13, 103), (14, 1010)], "id bigint, us bigint")
     assert [tuple(r) for r in matching.time_unique(one, two, 10).orderBy("id1").collect()] == [(1, 11), (3, 14)]
+
+
+def test_first_come_is_the_file_order(spark):
+    rng = random.Random(8)
+    rows = [(i, 1000 - 7 * i, 100 + j, float(rng.randrange(5)), float(rng.randrange(4))) for i in range(30) for j in range(30) if rng.random() < 0.12]
+    pairs = spark.createDataFrame(rows, "id1 bigint, seq bigint, id2 bigint, km double, dt_s double")
+    for only in (False, True):
+        used, want = set(), []
+        for i in sorted({r[0] for r in rows}, key=lambda i: 1000 - 7 * i):
+            free = sorted((km, dt, j) for a, _, j, km, dt in rows if a == i and j not in used)
+            if free and (not only or len(free) == 1):
+                used.add(free[0][2])
+                want.append((i, free[0][2]))
+        assert sorted(map(tuple, matching.first_come(pairs, only).collect())) == sorted(want)

@@ -84,3 +84,14 @@ def test_the_dictionary_grows(spark):
     assert spark.read.parquet(path).count() == 2
     assert got[1] + 3_600_000_000 == got[3]
     assert _run(spark, [(1, "LDG", None, None)], path) == {1: None}
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    raw = spark.createDataFrame([(1, "RESIF", "1614852000", None)], "raw_id bigint, source string, event_dt string, received_ts timestamp")
+    for c in ("utc_us", "time_zone", "_tz", "_row", "first_us"):
+        raw = raw.withColumn(c, F.lit("x"))
+    sources = spark.createDataFrame(SOURCES, "source string, time_zone string, date_order string").withColumn("event_dt", F.lit("y"))
+    r = timestamps.to_instants(raw, sources).first()
+    assert (r.utc_us, r.time_zone, r["_tz"]) == (1614852000000000, "x", "x")

@@ -67,3 +67,14 @@ def test_distance():
     assert units.weighted_distance("x10", "x100") > units.MAX_DISTANCE
     assert units.weighted_distance("mb", "mbLg") > units.MAX_DISTANCE
     assert units.weighted_distance("", "") == 0
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    mags = spark.createDataFrame([(1, "110", "ML", "LDG", None)], SCHEMA)
+    for c in ("unit", "ml", "_unit", "_row", "kind", "slope", "a.b"):
+        mags = mags.withColumn(c, F.lit("x"))
+    models = spark.createDataFrame(MODELS, "mag_type string, mag_author string, seg string, slope double, intercept double")
+    r = units.to_local_magnitude(mags.withColumn("mag", F.lit("110")), models.withColumn("remark", F.lit("y"))).first()
+    assert (r.ml, r.unit, r["_unit"], r["a.b"]) == (1.1, "hundredth", "x", "x")
