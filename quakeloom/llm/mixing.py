@@ -75,7 +75,7 @@ def mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     not used; repeated rows count once; no document is used over max_repeats times.
     """
     known = sizes.where(F.col("doc_id").isNotNull() & (F.col("tokens") >= 0)).select("doc_id", "source", "tokens").distinct()
-    wanted = targets.where((F.col("target_share") > 0) & (F.col("max_repeats") > 0)).dropDuplicates(["source"])
+    wanted = targets.select("source", "target_share", "max_repeats").where((F.col("target_share") > 0) & (F.col("max_repeats") > 0)).dropDuplicates(["source"])
     held = known.groupBy("source").agg(F.sum("tokens").alias("held")).where(F.col("held") > 0)
     plan = wanted.join(held, "source").select("source", "target_share", "max_repeats", "held")
     limit = plan.agg(F.min(F.col("held") * F.col("max_repeats") / F.col("target_share")).alias("total"))

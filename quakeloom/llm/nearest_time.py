@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quakeloom.session import table
 
 BITS = 30  # a block holds 2^30 microseconds, about 18 minutes
+_ENDS = {side: {"us": "us", "id": "id", "beside_us": f"{side}.us", "beside_id": f"{side}.id"} for side in ("previous", "next")}
 STEPS = 5  # 2^5 = 32 possible outcomes: no block, or a prefix of 0 to 30 bits
 
 
@@ -41,9 +42,8 @@ def _first_difference(a: Column, b: Column) -> Column:
 def trie_tables(leaves: DataFrame) -> DataFrame:
     """Trie nodes of leaves (entity, us, id; one row for each entity and us).
 
-    key, entity, length, prefix and the least and greatest leaf below the node with their
-    neighbours in the entity's order: least = (us, id, previous us, previous id), greatest =
-    (us, id, next us, next id).
+    key, entity, length, prefix and the least and greatest leaf below the node (us, id) with
+    the neighbour in the entity's order before the least and behind the greatest (beside_us, beside_id).
     """
     # The order is cut into windows a block wide; the neighbours of a block's first and
     # last leaf lie in other blocks and are looked for there by the query itself.
@@ -66,8 +66,9 @@ def trie_tables(leaves: DataFrame) -> DataFrame:
         rows.withColumn("prefix", _prefix(F.col("us"), at))
         .groupBy("entity", "length", "prefix")
         .agg(
-            F.max(F.when(at > F.col("left"), F.struct("us", "id", "previous"))).alias("least"),
-            F.max(F.when(at > F.col("right"), F.struct("us", "id", "next"))).alias("greatest"),
+            # one leaf each, so that max only picks it; plain numbers keep the aggregation hashed
+            *[F.max(F.when(at > F.col("left"), F.col(c))).alias(f"least_{n}") for n, c in _ENDS["previous"].items()],
+            *[F.max(F.when(at > F.col("right"), F.col(c))).alias(f"greatest_{n}") for n, c in _ENDS["next"].items()],
         )
         .withColumn("key", _key(F.col("entity"), F.col("length"), F.col("prefix")))
     )
@@ -90,7 +91,7 @@ def nearest_in_time(queries: DataFrame, leaves: DataFrame, tolerance_us: int) ->
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keys = nodes.select("key", F.lit(True).alias("there")).repartition(n, "key").persist(StorageLevel.MEMORY_AND_DISK)
 
-    asked = queries.where(F.col("query_id").isNotNull() & F.col("entity").isNotNull() & F.col("us").isNotNull()).distinct()
+    asked = queries.select("query_id", "entity", "us").dropna().distinct()
     # Near the edge of a block the neighbouring block's trie is asked too.
     blocks = [_prefix(F.col("us") + d, F.lit(0)) for d in (-tolerance_us, 0, tolerance_us)]
     asked = asked.withColumn("block", F.explode(F.array_distinct(F.array(*blocks))))
@@ -113,13 +114,16 @@ def nearest_in_time(queries: DataFrame, leaves: DataFrame, tolerance_us: int) ->
     hit = asked.join(nodes, ["entity", "length", "prefix"])
     # Below the node there is nothing on the query's side of the next bit: either the node's
     # least leaf follows the query or its greatest precedes it (or it is the query's time).
-    after = F.col("least.us") >= F.col("at")
-    candidates = F.when(after, F.array(F.struct("least.us", "least.id"), F.col("least.previous"))).otherwise(
-        F.array(F.struct("greatest.us", "greatest.id"), F.col("greatest.next"))
-    )
+    after = F.col("least_us") >= F.col("at")
+
+    def ends(name: str) -> Column:
+        pair = lambda us, i: F.struct(F.col(f"{name}_{us}").alias("us"), F.col(f"{name}_{i}").alias("id"))
+        return F.array(pair("us", "id"), pair("beside_us", "beside_id"))
+
+    candidates = F.when(after, ends("least")).otherwise(ends("greatest"))
     hit = hit.select("query_id", F.col("us").alias("_us"), F.explode(candidates).alias("c"))
     gap = F.abs(F.col("c.us") - F.col("_us"))
-    near = hit.where(F.col("c").isNotNull()).select("query_id", F.struct(gap.alias("gap_us"), F.col("c.id").alias("id")).alias("n"))
+    near = hit.where(F.col("c.us").isNotNull()).select("query_id", F.struct(gap.alias("gap_us"), F.col("c.id").alias("id")).alias("n"))
     near = near.where(F.col("n.gap_us") <= tolerance_us)
     best = near.groupBy("query_id").agg(F.min("n").alias("n"))
     return best.select("query_id", "n.id", "n.gap_us")
