@@ -102,3 +102,23 @@ def two_piece_fits(pairs: DataFrame, by: list[str], hinge: float = 2.0) -> DataF
     )
     low = low.select(*by, "slope_low", (F.col("pin") - F.col("slope_low") * hinge).alias("intercept_low"))
     return upper.join(low, by, "left")
+
+
+def fit_diagnostics(pairs: DataFrame, by: list[str], hinge: float = 2.0) -> DataFrame:
+    """Of each group's upper line (see two_piece_fits): n, sigma2, r2, band (sample deviation), bic, outliers.
+
+    Outliers lie more than 1.5 quartile ranges outside the quartiles of the residuals.
+    """
+    lines = two_piece_fits(pairs, by, hinge).select(*by, "slope", "intercept")
+    res = pairs.where(F.col("x") >= hinge).join(lines, by).withColumn("res", F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))
+    first = res.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(F.col("res") * F.col("res")).alias("sigma2"), F.stddev_samp("res").alias("band"), F.var_pop("y").alias("syy"),
+        F.percentile("res", F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
+    )
+    low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    reach = 1.5 * (high - low) + 1e-9
+    beyond = (F.col("res") < low - reach) | (F.col("res") > high + reach)
+    counted = res.select(*by, "res").join(first.select(*by, "q"), by).groupBy(*by).agg(F.count(F.when(beyond, 1)).alias("outliers"))
+    n, s2 = F.col("n"), F.col("sigma2")
+    bic = 4 * F.log(n) + n * F.log(2 * F.pi() * s2) + n
+    return first.join(counted, by).select(*by, "n", "sigma2", (1 - s2 / F.col("syy")).alias("r2"), "band", bic.alias("bic"), "outliers")

@@ -385,7 +385,7 @@ def obs_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Relocation solutions stand in lineitem, as SURVEY section 7 asks: one row per zone.
+# Relocation solutions have no table of their own: lineitem stands for them, one row per zone.
 def _solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("public_id"), F.col("l_linenumber").alias("zone"), F.col("l_extendedprice").cast("double").alias("pdf_volume"),

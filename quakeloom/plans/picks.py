@@ -113,8 +113,8 @@ c AS (SELECT t.pick, t.us, CAST(floor(t.us / 86400000000) AS BIGINT) * 864000000
 
 @query(_TEMP + """, r AS (SELECT pick, site_id, CASE WHEN (start_us IS NULL OR start_us <= day) AND (end_us IS NULL OR day <= end_us) AND day IS NOT NULL
   THEN 2 - (start_us IS NOT NULL)::INT - (end_us IS NOT NULL)::INT ELSE 3 END AS rank FROM c),
-b AS (SELECT pick, min((rank, site_id)) FILTER (WHERE rank < 3) AS b, max(site_id) AS last FROM r GROUP BY pick)
-SELECT pick, CASE WHEN b IS NULL THEN last ELSE b[2] END AS site_id, b IS NULL AS fallback FROM b""".replace("min((rank, site_id))", "min(rank || '|' || site_id)").replace("b[2]", "substr(b, 3)"))
+b AS (SELECT pick, min(rank || '|' || site_id) FILTER (WHERE rank < 3) AS b, max(site_id) AS last FROM r GROUP BY pick)
+SELECT pick, CASE WHEN b IS NULL THEN last ELSE substr(b, 3) END AS site_id, b IS NULL AS fallback FROM b""")
 def resolve_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The site epoch of each temporary pick by priority of validity bounds, at the resolution of a day."""
     day = F.floor(F.col("us") / 86_400_000_000) * 86_400_000_000
@@ -391,3 +391,16 @@ def magnitude_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-piece lines from each type and author to the ML of LDG, over events that have both."""
     done = statistics.two_piece_fits(_mag_pairs(spark, sf_dir), ["mag_type", "mag_author"]).where("n >= 10")
     return done.select("mag_type", "mag_author", "n", *[fixed(F.col(c), 4).alias(c) for c in ("slope", "intercept", "slope_low")])
+
+
+@query(_FIT.partition("SELECT f.mag_type")[0] + """, r AS (SELECT f.mag_type, f.mag_author, xy.y - (slope * xy.x + intercept) AS res, f.syy FROM xy JOIN f USING (mag_type, mag_author) WHERE xy.x >= 2),
+q AS (SELECT mag_type, mag_author, quantile_cont(res, 2.5e-1) AS q1, quantile_cont(res, 7.5e-1) AS q3 FROM r GROUP BY 1, 2)
+SELECT mag_type, mag_author, count(*) AS n, floor(avg(res * res) * 1e4 + 5e-1) / 1e4 AS sigma2, floor((1 - avg(res * res) / max(syy)) * 1e4 + 5e-1) / 1e4 AS r2,
+  floor(stddev_samp(res) * 1e4 + 5e-1) / 1e4 AS band, floor((4 * ln(count(*)) + count(*) * ln(2 * pi() * avg(res * res)) + count(*)) * 1e3 + 5e-1) / 1e3 AS bic,
+  count(*) FILTER (WHERE res < q1 - 1.5e0 * (q3 - q1) - 1e-9 OR res > q3 + 1.5e0 * (q3 - q1) + 1e-9) AS outliers
+FROM r JOIN q USING (mag_type, mag_author) GROUP BY 1, 2""")
+def fit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the upper lines fit: residual variance, R2, prediction band, information criterion, outliers beyond 1.5 quartile ranges."""
+    by = ["mag_type", "mag_author"]
+    done = statistics.fit_diagnostics(_mag_pairs(spark, sf_dir), by).where("n >= 10")
+    return done.select(*by, "n", *[fixed(F.col(c), 4).alias(c) for c in ("sigma2", "r2", "band")], fixed(F.col("bic"), 3).alias("bic"), "outliers")

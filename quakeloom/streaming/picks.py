@@ -1,7 +1,7 @@
 """Picks matched to events as both arrive: a stream-stream join on time buckets with watermarks.
 
-The reference pipeline is batch only; this is the batch operator's interval join (an
-event at most a minute before the pick) for data that arrive late and out of order.
+The batch operator's interval join (an event at most a minute before the pick) for data
+that arrive late and out of order.
 """
 
 from __future__ import annotations
