@@ -40,7 +40,7 @@ def _first_difference(a: Column, b: Column) -> Column:
 
 
 def trie_tables(leaves: DataFrame) -> DataFrame:
-    """Trie nodes of leaves (entity, us, id; one row for each entity and us).
+    """Trie nodes of leaves (entity, block, us, id; one row for each entity and us).
 
     key, entity, length, prefix and the least and greatest leaf below the node (us, id) with
     the neighbour in the entity's order before the least and behind the greatest (beside_us, beside_id).
@@ -50,8 +50,7 @@ def trie_tables(leaves: DataFrame) -> DataFrame:
     w = Window.partitionBy("entity", "block").orderBy("us")
     leaf = F.struct("us", "id")
     rows = (
-        leaves.withColumn("block", _prefix(F.col("us"), F.lit(0)))
-        .withColumn("previous", F.lag(leaf).over(w))
+        leaves.withColumn("previous", F.lag(leaf).over(w))
         .withColumn("next", F.lead(leaf).over(w))
     )
     left = _first_difference(F.col("us"), F.col("previous.us"))
@@ -86,15 +85,17 @@ def nearest_in_time(queries: DataFrame, leaves: DataFrame, tolerance_us: int) ->
         raise ValueError("the tolerance must be smaller than a block")
     spark = leaves.sparkSession
     clean = leaves.where(F.col("id").isNotNull() & F.col("entity").isNotNull() & F.col("us").isNotNull())
-    single = clean.groupBy("entity", "us").agg(F.min("id").alias("id"))
-    nodes = trie_tables(single).persist(StorageLevel.MEMORY_AND_DISK)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keys = nodes.select("key", F.lit(True).alias("there")).repartition(n, "key").persist(StorageLevel.MEMORY_AND_DISK)
+    single = clean.groupBy("entity", "us").agg(F.min("id").alias("id")).withColumn("block", _prefix(F.col("us"), F.lit(0)))
 
     asked = queries.select("query_id", "entity", "us").dropna().distinct()
     # Near the edge of a block the neighbouring block's trie is asked too.
     blocks = [_prefix(F.col("us") + d, F.lit(0)) for d in (-tolerance_us, 0, tolerance_us)]
     asked = asked.withColumn("block", F.explode(F.array_distinct(F.array(*blocks))))
+    # Only blocks that some query asks become tries.
+    single = single.join(asked.select("entity", "block").distinct(), ["entity", "block"], "left_semi")
+    nodes = trie_tables(single).persist(StorageLevel.MEMORY_AND_DISK)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    keys = nodes.select("key", F.lit(True).alias("there")).repartition(n, "key").persist(StorageLevel.MEMORY_AND_DISK)
     # In another block the time itself is replaced by that block's nearest end.
     start = F.call_function("shiftleft", F.col("block"), F.lit(BITS))
     asked = asked.withColumn("at", F.greatest(F.least("us", start + (1 << BITS) - 1), start))
