@@ -153,12 +153,16 @@ def look_alikes(documents: DataFrame) -> DataFrame:
     schema = "doc_id bigint, look binary, exact binary"
     keys = documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(_keys, schema)
     keys = keys.distinct().persist()
-    varied = keys.groupBy("look").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).where(F.col("a") != F.col("b"))
-    some = keys.join(varied.select("look"), "look")
-    left = some.select(F.col("doc_id").alias("doc_id_a"), F.col("look").alias("_look"), F.col("exact").alias("_exact"))
-    right = some.select(F.col("doc_id").alias("doc_id_b"), "look", "exact")
-    pairs = left.join(right, (F.col("_look") == F.col("look")) & (F.col("_exact") != F.col("exact")) & (F.col("doc_id_a") < F.col("doc_id_b")))
-    return pairs.select("doc_id_a", "doc_id_b")
+    strings = keys.select("look", "exact").distinct()
+    varied = strings.groupBy("look").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("look")
+    some = strings.join(varied, "look")
+    # pairs of strings first, so that copies of one string never meet each other
+    other = some.select("look", F.col("exact").alias("exact_b"))
+    twins = some.withColumnRenamed("exact", "exact_a").join(other, "look").where(F.col("exact_a") < F.col("exact_b"))
+    one = keys.select(F.col("exact").alias("exact_a"), F.col("doc_id").alias("a"))
+    two = keys.select(F.col("exact").alias("exact_b"), F.col("doc_id").alias("b"))
+    pairs = twins.select("exact_a", "exact_b").join(one, "exact_a").join(two, "exact_b").where(F.col("a") != F.col("b"))
+    return pairs.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
