@@ -23,7 +23,8 @@ def test_slips_and_conflicts(spark):
         (21, None, 0, 42.5, 0.5), (22, "B", None, 42.5, 0.5), (None, "C", 0, 42.5, 0.5), (1, "A", 0, 42.5, 0.5),
     ]
     got = _links(spark, rows)
-    assert set(got) == {(1, 2), (1, 3), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11), (10, 12), (11, 12), (13, 14), (16, 18), (17, 18)} - ({(11, 12)} - set(got))
+    want = {(1, 2), (1, 3), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11), (10, 12), (13, 14), (16, 18), (17, 18)}
+    assert set(got) - {(11, 12)} == want  # two rows without place: by time alone, either way
     assert all(0.5 <= c <= 1 for c in got.values()) and got[1, 2] > 0.9
 
 
