@@ -122,3 +122,18 @@ def fit_diagnostics(pairs: DataFrame, by: list[str], hinge: float = 2.0) -> Data
     n, s2 = F.col("n"), F.col("sigma2")
     bic = 4 * F.log(n) + n * F.log(2 * F.pi() * s2) + n
     return first.join(counted, by).select(*by, "n", "sigma2", (1 - s2 / F.col("syy")).alias("r2"), "band", bic.alias("bic"), "outliers")
+
+
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(n, spearman): rank correlation over rows that have both values, ties at their mean rank.
+
+    Ranks come from the counts of distinct values, so that the running sums pass over distinct values only.
+    """
+    both = df.select(x, y).dropna()
+
+    def ranks(c: str) -> DataFrame:
+        counts = both.groupBy(c).agg(F.count("*").alias("_n"))
+        below = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+        return counts.select(c, (below + (F.col("_n") + 1) / 2).alias(f"_{c}"))
+
+    return both.join(ranks(x), x).join(ranks(y), y).agg(F.count("*").alias("n"), F.corr(f"_{x}", f"_{y}").alias("spearman"))

@@ -449,3 +449,35 @@ def reloc_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event").isNull(), "without_event").when(F.col("solution").isNull(), "without_solution").otherwise("joined")
     kinds = spark.createDataFrame([("joined",), ("without_solution",), ("without_event",)], "kind string")
     return kinds.join(both.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")), "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""WITH e AS (SELECT erh, erv FROM catalog_event WHERE erh IS NOT NULL AND erv IS NOT NULL),
+r AS (SELECT rank() OVER (ORDER BY erh) + (count(*) OVER (PARTITION BY erh) - 1) / 2e0 AS a, rank() OVER (ORDER BY erv) + (count(*) OVER (PARTITION BY erv) - 1) / 2e0 AS b FROM e)
+SELECT count(*) AS n, floor(corr(a, b) * 1e6 + 5e-1) / 1e6 AS spearman FROM r""")
+def spearman_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of the horizontal and vertical error."""
+    done = statistics.spearman(table(spark, sf_dir, "catalog_event"), "erh", "erv")
+    return done.select("n", fixed(F.col("spearman")).alias("spearman"))
+
+
+@query(_PAIRS + f"""SELECT id1, id2, {_FIX.format("(b.lat - a.lat) * 1.1132e2")} AS north_km, {_FIX.format("(b.lon - a.lon) * (1.1132e2 * cos(radians(4.2e1)))")} AS east_km
+FROM p JOIN e a ON a.id = id1 JOIN e b ON b.id = id2 WHERE km <= 1.5e1 AND dt_s <= 2e0""")
+def match_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences in position of strict candidate pairs, in km north and east."""
+    one, two = _two_sources(spark, sf_dir)
+    pairs = matching.candidates(one, two).where("km <= 15 AND dt_s <= 2").select("id1", "id2")
+    place = lambda df, n: df.select(F.col("id").alias("id" + n), F.col("lat").alias("lat" + n), F.col("lon").alias("lon" + n))
+    both = pairs.join(place(one, "1"), "id1").join(place(two, "2"), "id2")
+    east = F.lit(111.32) * F.cos(F.radians(F.lit(42.0)))
+    return both.select("id1", "id2", fixed((F.col("lat2") - F.col("lat1")) * 111.32).alias("north_km"), fixed((F.col("lon2") - F.col("lon1")) * east).alias("east_km"))
+
+
+@query("""WITH e AS (SELECT source, erh, row_number() OVER (PARTITION BY source ORDER BY erh DESC, event_uid) AS place, event_uid AS id FROM catalog_event WHERE erh IS NOT NULL)
+SELECT source, place, id, erh FROM e WHERE place <= 20""")
+def worst_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty events of each source with the largest horizontal error, in drawing order."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "catalog_event").where(F.col("erh").isNotNull())
+    w = Window.partitionBy("source").orderBy(F.col("erh").desc(), "event_uid")
+    return e.select("source", F.row_number().over(w).alias("place"), F.col("event_uid").alias("id"), "erh").where("place <= 20")

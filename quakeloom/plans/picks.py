@@ -404,3 +404,12 @@ def fit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["mag_type", "mag_author"]
     done = statistics.fit_diagnostics(_mag_pairs(spark, sf_dir), by).where("n >= 10")
     return done.select(*by, "n", *[fixed(F.col(c), 4).alias(c) for c in ("sigma2", "r2", "band")], fixed(F.col("bic"), 3).alias("bic"), "outliers")
+
+
+@query(_TEMP + """, n AS (SELECT DISTINCT pick, code FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.pick = c.pick
+  AND (d.start_us IS NULL OR d.start_us <= d.day) AND (d.end_us IS NULL OR d.day <= d.end_us) AND d.day IS NOT NULL))
+SELECT code, count(*) AS n FROM n GROUP BY code""")
+def fallback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many temporary picks of each code fall into no epoch and take the last one."""
+    code = _temporary(spark, sf_dir).select("pick", "code")
+    return resolve_priority(spark, sf_dir).where("fallback").join(code, "pick").groupBy("code").agg(F.count("*").alias("n"))

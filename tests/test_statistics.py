@@ -70,3 +70,12 @@ def test_histograms(spark):
 def test_ml_to_mw(spark):
     df = spark.createDataFrame([(2.0,), (3.5,), (4.0,), (5.0,)], "m double")
     assert [r[0] for r in df.select(seismic.ml_to_mw(F.col("m"))).collect()] == pytest.approx([1.7751, 2.9, 3.4, 5.0534])
+
+
+def test_spearman_with_ties(spark):
+    rng = random.Random(5)
+    rows = [(float(rng.randrange(6)), float(rng.randrange(6))) for _ in range(80)]
+    got = statistics.spearman(spark.createDataFrame(rows + [(None, 1.0), (2.0, None)], "x double, y double"), "x", "y").first()
+    rank = lambda v: [sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v]
+    x, y = zip(*rows, strict=True)
+    assert got.n == 80 and got.spearman == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
