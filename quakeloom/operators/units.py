@@ -10,6 +10,7 @@ JVM expressions; Python sees only distinct spellings.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -172,22 +173,16 @@ def alias_dictionary(spellings: DataFrame, known: DataFrame) -> DataFrame:
     return best.select("kind", "spelling", "b.unit", "b.scale")
 
 
-def with_spellings(mags: DataFrame) -> DataFrame:
-    """Adds _value (the number in mag) and _text, _note, _type (the spellings beside it)."""
-    s = _tidy(F.col("mag"))
+def read_texts(mags: DataFrame) -> DataFrame:
+    """(_mag, _value, _text) of each distinct text in mag that holds a number: the number and the spelling beside it."""
     parts = rf"^(.*?)({_NUMBER})(.*)$"
     before = F.regexp_extract("_tidy", parts, 1)
     after = F.regexp_extract("_tidy", parts, 3)
-    return (
-        mags.withColumn("_tidy", s)
-        .withColumn("_value", F.regexp_extract("_tidy", parts, 2).try_cast("double"))
-        .withColumn(
-            "_text",
-            F.trim(F.regexp_replace(F.concat_ws(" ", F.trim(before), F.trim(after)), r"[=:()]+", " ")),
-        )
-        .withColumn("_note", F.trim(F.coalesce("remark", F.lit(""))))
-        .withColumn("_type", F.trim(F.coalesce("mag_type", F.lit(""))))
-    )
+    text = F.regexp_replace(F.concat_ws(" ", F.trim(before), F.trim(after)), r"[=:()]+", " ")
+    distinct = mags.where(F.col("mag").rlike("[0-9０-９]")).select(F.col("mag").alias("_mag")).distinct()
+    read = distinct.withColumn("_tidy", _tidy(F.col("_mag")))
+    read = read.select("_mag", F.regexp_extract("_tidy", parts, 2).try_cast("double").alias("_value"), F.trim(text).alias("_text"))
+    return read.where(F.col("_value").isNotNull())
 
 
 def to_local_magnitude(mags: DataFrame, models: DataFrame) -> DataFrame:
@@ -200,24 +195,20 @@ def to_local_magnitude(mags: DataFrame, models: DataFrame) -> DataFrame:
     results; repeated rows stay repeated. Columns of mags named like an added one are replaced.
     """
     spark = mags.sparkSession
-    needed = [F.col(c) for c in ("mag", "mag_type", "mag_author", "remark")]
-    rows = with_spellings(mags.select(F.struct(*[F.col(f"`{c}`") for c in mags.columns]).alias("_row"), *needed))
-    used = rows.where(F.col("_value").isNotNull())
-    spellings = (
-        used.select(
-            F.explode(
-                F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("spelling")) for k in ("text", "note", "type")])
-            ).alias("s")
-        )
-        .select("s.*")
-        .distinct()
-    )
-    aliases = staged(alias_dictionary(spellings, vocabulary(spark)), "unit-aliases")
-    for kind in ("text", "note", "type"):
-        own = aliases.where(F.col("kind") == kind).select(
-            F.col("spelling").alias(f"_{kind}"), F.col("unit").alias(f"_{kind}_unit"), F.col("scale").alias(f"_{kind}_scale")
-        )
-        rows = rows.join(own, f"_{kind}", "left")
+    note, kind = F.trim(F.coalesce("remark", F.lit(""))), F.trim(F.coalesce("mag_type", F.lit("")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in mags.columns]).alias("_row")
+    rows = mags.select(whole, "mag", "mag_author", note.alias("_note"), kind.alias("_type"))
+    texts = staged(read_texts(mags), "magnitude-texts")
+    spelled = {"text": texts.select("_text"), "note": rows.select("_note"), "type": rows.select("_type")}
+    spellings = [df.distinct().select(F.lit(k).alias("kind"), F.col(f"_{k}").alias("spelling")) for k, df in spelled.items()]
+    aliases = staged(alias_dictionary(reduce(DataFrame.unionByName, spellings), vocabulary(spark)), "unit-aliases")
+
+    def own(k: str) -> DataFrame:
+        named = [F.col("spelling").alias(f"_{k}"), F.col("unit").alias(f"_{k}_unit"), F.col("scale").alias(f"_{k}_scale")]
+        return aliases.where(F.col("kind") == k).select(*named)
+
+    read = texts.join(own("text"), "_text", "left").drop("_text")
+    rows = rows.join(read, F.col("mag") == F.col("_mag"), "left").join(own("note"), "_note", "left").join(own("type"), "_type", "left")
     value = F.col("_value")
     stated = F.when(F.col("_text_unit") != "plain", F.col("_text_unit")).when(
         F.col("_text_scale").isNull(), F.col("_note_unit")
