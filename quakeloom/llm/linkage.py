@@ -6,23 +6,30 @@ that sameness is transitive: if x is y and y is z, then x is z (a hinge). Two ro
 source are the same only if the network issued the event twice, which has its own weak
 rule; so transitivity is also what lets only one row of a source match (exclusivity).
 The convex problem is solved by alternating directions: every ground rule moves its own
-copies of the values, every value is the mean of its copies, and both steps are window
-sums over a table of (rule, pair). Transitivity is grounded lazily, only where the values
-so far break it. The value of a pair is its confidence.
+copies of the values, every value is the mean of its copies, until both residuals are
+below a tolerance. Rows that no chain of pairs connects do not bear on each other, so
+the problem falls into parts: parts of bounded size are solved in blocks in numpy, larger
+ones by window sums over the table of (rule, pair). Transitivity is grounded lazily, only
+where the values so far break it, until no rule outside the table is broken. The value of
+a pair is its confidence.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakeloom.functions.geo import haversine_km
+from quakeloom.operators.matching import linked_groups
 from quakeloom.session import cut, staged, table
 
 BUCKET_US = 8_000_000
 CELL_DEGREES = 0.25
+BLOCK_ROWS = 100_000  # copies that are solved together in one Python task
 
 
 @dataclass(frozen=True)
@@ -44,8 +51,8 @@ class Rules:
     least: float = -2.0  # pairs of less log-odds are not grounded
     transitivity: float = 4.0  # weight of the hinge
     rho: float = 1.0
-    steps: int = 8
-    rounds: int = 2
+    tolerance: float = 1e-4  # of both residuals
+    steps: int = 8  # between two looks at the residuals
     accept: float = 0.5
 
 
@@ -155,7 +162,7 @@ def _clipped(c: Column) -> Column:
 
 def broken_rules(values: DataFrame) -> DataFrame:
     """(rule, pair, a sign for it): transitivity over each row that two true pairs share, where the third is too false."""
-    seen = values.where(F.col("value") > 0.02).select("pair", "a", "b", "value")
+    seen = values.where(F.col("value") > 0.001).select("pair", "a", "b", "value")
     ends = seen.select(F.col("a").alias("hub"), F.col("b").alias("end"), "pair", "value").unionByName(
         seen.select(F.col("b").alias("hub"), F.col("a").alias("end"), "pair", "value")
     )
@@ -176,20 +183,60 @@ def broken_rules(values: DataFrame) -> DataFrame:
     return met.select(rule.alias("rule"), F.explode(terms).alias("t")).select("rule", "t.pair", "t.sign")
 
 
-def solve(copies: DataFrame, rules: Rules) -> DataFrame:
-    """rules.steps rounds of alternating directions over (rule, pair, sign, target, x, u)."""
+def _solve_spread(copies: DataFrame, rules: Rules) -> DataFrame:
+    """Alternating directions over (rule, pair, sign, target, part, x, u) by window sums, for parts of any size."""
     by_pair, by_rule = Window.partitionBy("pair"), Window.partitionBy("rule")
-    for step in range(rules.steps):
-        total, n = F.sum(F.col("x") + F.col("u")).over(by_pair), F.count("*").over(by_pair)
-        mean = _clipped((2 * F.col("target") + rules.rho * total) / (2 + rules.rho * n))
-        copies = copies.withColumn("z", mean).withColumn("v", F.col("z") - F.col("u"))
-        excess = F.sum(F.col("sign") * F.col("v")).over(by_rule) - 1
-        pull = F.greatest(F.lit(0.0), F.least(F.lit(rules.transitivity / rules.rho), excess / F.count("*").over(by_rule)))
-        copies = copies.withColumn("x", F.col("v") - pull * F.col("sign")).withColumn("u", F.col("u") + F.col("x") - F.col("z"))
-        copies = copies.select("rule", "pair", "sign", "target", "x", "u")
-        if step % 4 == 3 and step + 1 < rules.steps:
-            copies = cut(copies)
-    return cut(copies)
+    columns = copies.columns
+    while True:
+        for _ in range(rules.steps):
+            total, n = F.sum(F.col("x") + F.col("u")).over(by_pair), F.count("*").over(by_pair)
+            mean = _clipped((2 * F.col("target") + rules.rho * total) / (2 + rules.rho * n))
+            copies = copies.withColumn("z", mean).withColumn("v", F.col("z") - F.col("u"))
+            excess = F.sum(F.col("sign") * F.col("v")).over(by_rule) - 1
+            pull = F.greatest(F.lit(0.0), F.least(F.lit(rules.transitivity / rules.rho), excess / F.count("*").over(by_rule)))
+            copies = copies.withColumn("old", F.col("x")).withColumn("x", F.col("v") - pull * F.col("sign"))
+            copies = copies.withColumn("u", F.col("u") + F.col("x") - F.col("z"))
+            copies = copies.select(*columns, F.greatest(F.abs(F.col("x") - F.col("z")), rules.rho * F.abs(F.col("x") - F.col("old"))).alias("residual"))
+        copies = cut(copies)
+        if not copies.where(F.col("residual") >= rules.tolerance).take(1):
+            return copies.select(*columns)
+        copies = copies.select(*columns)
+
+
+def _solve_block(frame: pd.DataFrame, rules: Rules) -> pd.DataFrame:
+    """The same over whole parts in numpy; parts are left out of the steps as they settle."""
+    done, left = [], frame
+    while len(left):
+        place = lambda c: np.unique(left[c].to_numpy(), return_inverse=True)[1]  # noqa: B023, E731
+        pair, rule, part = place("pair"), place("rule"), place("part")
+        sign, target, x, u = (left[c].to_numpy(dtype=float, copy=True) for c in ("sign", "target", "x", "u"))
+        n, size = np.bincount(pair)[pair], np.bincount(rule)
+        most = rules.transitivity / rules.rho
+        for _ in range(10 * rules.steps):
+            z = np.clip((2 * target + rules.rho * np.bincount(pair, x + u)[pair]) / (2 + rules.rho * n), 0, 1)
+            v, old = z - u, x
+            x = v - np.clip((np.bincount(rule, sign * v) - 1) / size, 0, most)[rule] * sign
+            u = u + x - z
+        residual = np.maximum(np.abs(x - z), rules.rho * np.abs(x - old))
+        open_ = (np.bincount(part, residual >= rules.tolerance) > 0)[part]
+        left = left.assign(x=x, u=u)
+        done.append(left[~open_])
+        left = left[open_]
+    return pd.concat(done) if done else frame
+
+
+def solve(copies: DataFrame, rules: Rules) -> DataFrame:
+    """(rule, pair, sign, target, part, x, u) with x and u of the solution: alternating directions until the residuals are small."""
+    sizes = cut(copies.groupBy("part").agg(F.count("*").alias("n")))
+    total = sizes.agg(F.sum(F.when(F.col("n") <= BLOCK_ROWS, F.col("n"))).alias("small"), F.max("n").alias("most")).first()
+    blocks = max(int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * (total["small"] or 0) // max(BLOCK_ROWS, 1)))
+    large = sizes.where(F.col("n") > BLOCK_ROWS).select("part")
+    small = copies.join(large, "part", "left_anti") if (total["most"] or 0) > BLOCK_ROWS else copies
+    block = F.pmod(F.xxhash64("part"), F.lit(blocks))
+    solved = small.groupBy(block.alias("block")).applyInPandas(lambda frame: _solve_block(frame, rules), small.schema)
+    if (total["most"] or 0) > BLOCK_ROWS:
+        solved = solved.unionByName(_solve_spread(cut(copies.join(large, "part", "left_semi")), rules))
+    return cut(solved)
 
 
 def link(events: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -205,16 +252,19 @@ def link(events: DataFrame, rules: Rules | None = None) -> DataFrame:
     clean = staged(clean.select("id", "source", "us", "lat", "lon").distinct(), "events")
     pairs = staged(candidate_pairs(clean, rules), "pairs")
     ground = staged(grounded(pairs, rules), "ground")
+    parts = linked_groups(ground.select(F.col("a").alias("id1"), F.col("b").alias("id2")))
+    ground = staged(ground.join(parts.select(F.col("id").alias("a"), F.col("group_id").alias("part")), "a"), "parted")
     values = ground.withColumn("value", _clipped(F.col("target")))
     copies = None
-    for _ in range(rules.rounds):
-        fresh = broken_rules(values).join(values.select("pair", "target", "value"), "pair")
-        fresh = fresh.select("rule", "pair", "sign", "target", F.col("value").alias("x"), F.lit(0.0).alias("u"))
-        if copies is None:
-            copies = fresh
-        else:
-            copies = copies.unionByName(fresh.join(copies.select("rule").distinct(), "rule", "left_anti"))
-        copies = solve(cut(copies), rules)
+    while True:
+        fresh = broken_rules(values).join(values.select("pair", "target", "part", "value"), "pair")
+        fresh = fresh.select("rule", "pair", "sign", "target", "part", F.col("value").alias("x"), F.lit(0.0).alias("u"))
+        if copies is not None:
+            fresh = fresh.join(copies.select("rule").distinct(), "rule", "left_anti")
+        fresh = cut(fresh)
+        if not fresh.take(1):
+            break
+        copies = solve(fresh if copies is None else copies.unionByName(fresh), rules)
         mean = _clipped((2 * F.first("target") + rules.rho * F.sum(F.col("x") + F.col("u"))) / (2 + rules.rho * F.count("*")))
         settled = copies.groupBy("pair").agg(mean.alias("settled"))
         values = ground.join(settled, "pair", "left").select(

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from quakeloom.llm import linkage
 
 SCHEMA = "id bigint, source string, us bigint, lat double, lon double"
@@ -45,3 +47,61 @@ def test_recall_and_precision_on_noisy_copies(spark):
 
 def test_empty(spark):
     assert _links(spark, []) == {} and _links(spark, [(1, "A", 0, 42.5, 0.5)]) == {}
+
+
+def _swarm(n, seed, span_s):
+    """Rows of n earthquakes in few seconds and kilometres, read by most of four sources."""
+    rng, rows = random.Random(seed), []
+    for _ in range(n):
+        us, lat, lon = rng.randrange(0, span_s * 1_000_000), 42.5 + rng.random() * 0.1, 0.5 + rng.random() * 0.1
+        for source in "ABCD":
+            if rng.random() < 0.8:
+                rows.append((len(rows), source, us + round(rng.gauss(0, 0.5e6)), lat + rng.gauss(0, 0.02), lon + rng.gauss(0, 0.03)))
+    return rows
+
+
+def _all_rules_at_once(ground, rules):
+    """The converged values with every transitivity rule in the problem from the start."""
+    index = {(g.a, g.b): k for k, g in enumerate(ground)}
+    target = np.array([g.target for g in ground])
+    near = {}
+    for a, b in index:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    at = lambda p, q: index.get((min(p, q), max(p, q)))
+    terms = []
+    for hub, ends in near.items():
+        for e1 in ends:
+            for e2 in ends:
+                if e1 < e2:
+                    terms.append([(at(hub, e1), 1.0), (at(hub, e2), 1.0)] + ([(at(e1, e2), -1.0)] if at(e1, e2) is not None else []))
+    rule = np.array([r for r, ts in enumerate(terms) for _ in ts])
+    pair, sign = (np.array([t[k] for ts in terms for t in ts]) for k in (0, 1))
+    size, n = np.bincount(rule), np.bincount(pair, minlength=len(target))
+    x, u = np.clip(target, 0, 1)[pair], np.zeros(len(pair))
+    for _ in range(4000):
+        z = np.clip((2 * target + np.bincount(pair, x + u, len(target))) / (2 + n), 0, 1)
+        v = z[pair] - u
+        x = v - np.clip((np.bincount(rule, sign * v) - 1) / size, 0, rules.transitivity)[rule] * sign
+        u += x - z[pair]
+    return {k: z[i] for k, i in index.items()}
+
+
+def test_values_are_those_of_the_converged_problem(spark):
+    rows, rules = _swarm(30, 3, 60), linkage.Rules()
+    events = spark.createDataFrame(rows, SCHEMA)
+    want = _all_rules_at_once(linkage.grounded(linkage.candidate_pairs(events, rules), rules).collect(), rules)
+    got = _links(spark, rows)
+    source = {r[0]: r[1] for r in rows}
+    assert all(abs(c - want[k]) < 0.01 for k, c in got.items())
+    assert all(k in got for k, v in want.items() if v > 0.51 and source[k[0]] != source[k[1]])
+
+
+def test_large_parts_settle_alike(spark, monkeypatch):
+    rows = _swarm(3, 5, 4)
+    events, rules = spark.createDataFrame(rows, SCHEMA), linkage.Rules(tolerance=1e-2)
+    blocks = {(r.a, r.b): r.confidence for r in linkage.link(events, rules).collect()}
+    monkeypatch.setattr(linkage, "BLOCK_ROWS", 0)
+    monkeypatch.setattr(linkage, "_solve_block", None)
+    spread = {(r.a, r.b): r.confidence for r in linkage.link(events, rules).collect()}
+    assert blocks and all(abs(blocks.get(k, 0.5) - spread.get(k, 0.5)) < 0.1 for k in {*blocks, *spread})
