@@ -4,7 +4,8 @@ Soft logic: every candidate pair is a truth value between 0 and 1. Weighted rule
 near in time and place two rows must be to be the same earthquake (squared hinges), and
 that sameness is transitive: if x is y and y is z, then x is z (a hinge). Two rows of one
 source are the same only if the network issued the event twice, which has its own weak
-rule; so transitivity is also what lets only one row of a source match (exclusivity).
+rule. Unless that rule holds them for such twins, a row is at most one of the two
+(exclusivity, a hinge that outweighs the similarity of a perfect pair).
 The convex problem is solved by alternating directions: every ground rule moves its own
 copies of the values, every value is the mean of its copies, until both residuals are
 below a tolerance. Rows that no chain of pairs connects do not bear on each other, so
@@ -50,6 +51,7 @@ class Rules:
     sharpness: float = 0.4  # value per unit of log-odds
     least: float = -2.0  # pairs of less log-odds are not grounded
     transitivity: float = 4.0  # weight of the hinge
+    exclusivity: float = 8.0  # the same; above 2 x (0.5 + sharpness x prior) it binds
     rho: float = 1.0
     tolerance: float = 1e-4  # of both residuals
     steps: int = 8  # between two looks at the residuals
@@ -144,7 +146,7 @@ def source_offsets(pairs: DataFrame) -> DataFrame:
 
 
 def grounded(pairs: DataFrame, rules: Rules) -> DataFrame:
-    """(pair, a, b, twin, target): the pairs worth a truth value, with the value the similarity rules alone ask for."""
+    """(pair, a, b, source_a, source_b, twin, target): the pairs worth a truth value, with the value the similarity rules alone ask for."""
     same = F.col("source_a") == F.col("source_b")
     lag = F.abs(F.col("dt") - F.coalesce("offset", F.lit(0.0)))
     apart = F.when(same, F.abs("dt") / rules.twin_scale_s + F.col("km") / rules.twin_scale_km).otherwise(
@@ -152,25 +154,32 @@ def grounded(pairs: DataFrame, rules: Rules) -> DataFrame:
     )
     odds = F.when(same, F.lit(rules.twin_prior)).otherwise(F.lit(rules.prior)) - apart - F.col("slip")
     scored = pairs.join(source_offsets(pairs), ["source_a", "source_b"], "left").withColumn("odds", odds)
-    best = scored.where(F.col("odds") > rules.least).groupBy("a", "b").agg(F.max("odds").alias("odds"), F.max(same).alias("twin"))
-    return best.select(F.xxhash64("a", "b").alias("pair"), "a", "b", "twin", (0.5 + rules.sharpness * F.col("odds")).alias("target"))
+    best = scored.where(F.col("odds") > rules.least).groupBy("a", "b").agg(F.max("odds").alias("odds"), F.first("source_a").alias("source_a"), F.first("source_b").alias("source_b"))
+    twin = F.col("source_a") == F.col("source_b")
+    return best.select(F.xxhash64("a", "b").alias("pair"), "a", "b", "source_a", "source_b", twin.alias("twin"), (0.5 + rules.sharpness * F.col("odds")).alias("target"))
 
 
 def _clipped(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def broken_rules(values: DataFrame) -> DataFrame:
-    """(rule, pair, a sign for it): transitivity over each row that two true pairs share, where the third is too false."""
-    seen = values.where(F.col("value") > 0.001).select("pair", "a", "b", "value")
-    ends = seen.select(F.col("a").alias("hub"), F.col("b").alias("end"), "pair", "value").unionByName(
-        seen.select(F.col("b").alias("hub"), F.col("a").alias("end"), "pair", "value")
+def broken_rules(values: DataFrame, rules: Rules) -> DataFrame:
+    """(rule, pair, a sign for it, weight): what the values break over each row that two true pairs share.
+
+    values: pair, a, b, source_a, source_b, target, value. Ends in one source that are no twins by
+    their own target exclude each other; all others are transitive: the third pair must not be too false.
+    """
+    seen = values.where(F.col("value") > 0.001)
+    ends = seen.select(F.col("a").alias("hub"), F.col("b").alias("end"), F.col("source_b").alias("source"), "pair", "value").unionByName(
+        seen.select(F.col("b").alias("hub"), F.col("a").alias("end"), F.col("source_a").alias("source"), "pair", "value")
     )
-    one = ends.select("hub", F.col("end").alias("e1"), F.col("pair").alias("p1"), F.col("value").alias("v1"))
-    two = ends.select("hub", F.col("end").alias("e2"), F.col("pair").alias("p2"), F.col("value").alias("v2"))
+    one = ends.select("hub", F.col("end").alias("e1"), F.col("source").alias("s1"), F.col("pair").alias("p1"), F.col("value").alias("v1"))
+    two = ends.select("hub", F.col("end").alias("e2"), F.col("source").alias("s2"), F.col("pair").alias("p2"), F.col("value").alias("v2"))
     met = one.join(two, "hub").where((F.col("e1") < F.col("e2")) & (F.col("v1") + F.col("v2") > 1.001))
-    third = values.select(F.col("a").alias("e1"), F.col("b").alias("e2"), F.col("pair").alias("p3"), F.col("value").alias("v3"))
-    met = met.join(third, ["e1", "e2"], "left").where(F.col("v1") + F.col("v2") - F.coalesce("v3", F.lit(0.0)) > 1.001)
+    third = values.select(F.col("a").alias("e1"), F.col("b").alias("e2"), F.col("pair").alias("p3"), F.col("value").alias("v3"), F.col("target").alias("t3"))
+    met = met.join(third, ["e1", "e2"], "left")
+    apart = (F.col("s1") == F.col("s2")) & (F.coalesce("t3", F.lit(0.0)) < rules.accept)
+    met = met.withColumn("apart", apart).withColumn("p3", F.when(~apart, F.col("p3"))).withColumn("v3", F.when(~apart, F.col("v3"))).where(F.col("v1") + F.col("v2") - F.coalesce("v3", F.lit(0.0)) > 1.001)
     terms = F.filter(
         F.array(
             F.struct(F.col("p1").alias("pair"), F.lit(1.0).alias("sign")),
@@ -180,11 +189,12 @@ def broken_rules(values: DataFrame) -> DataFrame:
         lambda t: t["pair"].isNotNull(),
     )
     rule = F.xxhash64("hub", "e1", "e2")
-    return met.select(rule.alias("rule"), F.explode(terms).alias("t")).select("rule", "t.pair", "t.sign")
+    weight = F.when(F.col("apart"), rules.exclusivity).otherwise(rules.transitivity).alias("weight")
+    return met.select(rule.alias("rule"), weight, F.explode(terms).alias("t")).select("rule", "t.pair", "t.sign", "weight")
 
 
 def _solve_spread(copies: DataFrame, rules: Rules) -> DataFrame:
-    """Alternating directions over (rule, pair, sign, target, part, x, u) by window sums, for parts of any size."""
+    """Alternating directions over (rule, pair, sign, weight, target, part, x, u) by window sums, for parts of any size."""
     by_pair, by_rule = Window.partitionBy("pair"), Window.partitionBy("rule")
     columns = copies.columns
     while True:
@@ -193,7 +203,7 @@ def _solve_spread(copies: DataFrame, rules: Rules) -> DataFrame:
             mean = _clipped((2 * F.col("target") + rules.rho * total) / (2 + rules.rho * n))
             copies = copies.withColumn("z", mean).withColumn("v", F.col("z") - F.col("u"))
             excess = F.sum(F.col("sign") * F.col("v")).over(by_rule) - 1
-            pull = F.greatest(F.lit(0.0), F.least(F.lit(rules.transitivity / rules.rho), excess / F.count("*").over(by_rule)))
+            pull = F.greatest(F.lit(0.0), F.least(F.col("weight") / rules.rho, excess / F.count("*").over(by_rule)))
             copies = copies.withColumn("old", F.col("x")).withColumn("x", F.col("v") - pull * F.col("sign"))
             copies = copies.withColumn("u", F.col("u") + F.col("x") - F.col("z"))
             copies = copies.select(*columns, F.greatest(F.abs(F.col("x") - F.col("z")), rules.rho * F.abs(F.col("x") - F.col("old"))).alias("residual"))
@@ -211,7 +221,7 @@ def _solve_block(frame: pd.DataFrame, rules: Rules) -> pd.DataFrame:
         pair, rule, part = place("pair"), place("rule"), place("part")
         sign, target, x, u = (left[c].to_numpy(dtype=float, copy=True) for c in ("sign", "target", "x", "u"))
         n, size = np.bincount(pair)[pair], np.bincount(rule)
-        most = rules.transitivity / rules.rho
+        most = left["weight"].to_numpy()[np.unique(rule, return_index=True)[1]] / rules.rho
         for _ in range(10 * rules.steps):
             z = np.clip((2 * target + rules.rho * np.bincount(pair, x + u)[pair]) / (2 + rules.rho * n), 0, 1)
             v, old = z - u, x
@@ -226,7 +236,7 @@ def _solve_block(frame: pd.DataFrame, rules: Rules) -> pd.DataFrame:
 
 
 def solve(copies: DataFrame, rules: Rules) -> DataFrame:
-    """(rule, pair, sign, target, part, x, u) with x and u of the solution: alternating directions until the residuals are small."""
+    """(rule, pair, sign, weight, target, part, x, u) with x and u of the solution: alternating directions until the residuals are small."""
     sizes = cut(copies.groupBy("part").agg(F.count("*").alias("n")))
     total = sizes.agg(F.sum(F.when(F.col("n") <= BLOCK_ROWS, F.col("n"))).alias("small"), F.max("n").alias("most")).first()
     blocks = max(int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * (total["small"] or 0) // max(BLOCK_ROWS, 1)))
@@ -239,13 +249,39 @@ def solve(copies: DataFrame, rules: Rules) -> DataFrame:
     return cut(solved)
 
 
+def exclusive(values: DataFrame, rules: Rules) -> DataFrame:
+    """The pairs of different sources that hold, the surest first: a row's partners in one source are one row or twins.
+
+    Values at half, where the hinges leave equal claims, are told apart by target, then by id.
+    """
+    twins = staged(values.where(F.col("twin") & (F.col("target") >= rules.accept)).select(F.col("a").alias("e1"), F.col("b").alias("e2")), "twins")
+    twins = twins.unionByName(twins.select(F.col("e1").alias("e2"), F.col("e2").alias("e1")))
+    sure = staged(values.where(~F.col("twin") & (F.col("value") >= rules.accept - 10 * rules.tolerance)), "sure")
+    order = F.struct(-F.col("value"), -F.col("target"), "a", "b").alias("order")
+    ends = sure.select(F.col("a").alias("hub"), F.col("source_b").alias("in"), F.col("b").alias("end"), "pair", order).unionByName(
+        sure.select(F.col("b").alias("hub"), F.col("source_a").alias("in"), F.col("a").alias("end"), "pair", order)
+    )
+    side = lambda n: ends.select("hub", "in", F.col("end").alias("e" + n), F.col("pair").alias("p" + n), F.col("order").alias("o" + n))
+    clash = side("1").join(side("2"), ["hub", "in"]).where(F.col("o1") < F.col("o2")).join(twins, ["e1", "e2"], "left_anti")
+    left = cut(clash.select(F.col("p1").alias("better"), F.col("p2").alias("worse")).distinct())
+    lost = None
+    while left.take(1):  # pairs that no undecided pair is better than stay, and shut out what they clash with
+        tops = left.select(F.col("better").alias("pair")).distinct().join(left.select(F.col("worse").alias("pair")), "pair", "left_anti")
+        out = cut(left.join(tops.withColumnRenamed("pair", "better"), "better", "left_semi").select(F.col("worse").alias("pair")).distinct())
+        lost = out if lost is None else lost.unionByName(out)
+        gone = out.withColumnRenamed("pair", "worse")
+        left = left.join(gone, "worse", "left_anti").join(gone.withColumnRenamed("worse", "better"), "better", "left_anti")
+        left = cut(left)
+    return sure if lost is None else sure.join(lost, "pair", "left_anti")
+
+
 def link(events: DataFrame, rules: Rules | None = None) -> DataFrame:
     """(a, b, confidence), a < b: rows of different sources that report the same earthquake.
 
     events: id, source, us (microseconds), lat, lon. Rows with a null id, source or time match
     nothing; rows without a usable place match by time alone, at a cost; repeated rows count
-    once. Of a row's pairs into one source the surest is kept, unless the other is its
-    own twin there; pairs equally sure are both left if the rules leave both at half.
+    once. Of a row's pairs into one source the surest is kept, and another one only if the two
+    partners are twins by their own times and places.
     """
     rules = rules or Rules()
     clean = events.where(F.col("id").isNotNull() & F.col("source").isNotNull() & F.col("us").isNotNull())
@@ -257,8 +293,8 @@ def link(events: DataFrame, rules: Rules | None = None) -> DataFrame:
     values = ground.withColumn("value", _clipped(F.col("target")))
     copies = None
     while True:
-        fresh = broken_rules(values).join(values.select("pair", "target", "part", "value"), "pair")
-        fresh = fresh.select("rule", "pair", "sign", "target", "part", F.col("value").alias("x"), F.lit(0.0).alias("u"))
+        fresh = broken_rules(values, rules).join(values.select("pair", "target", "part", "value"), "pair")
+        fresh = fresh.select("rule", "pair", "sign", "weight", "target", "part", F.col("value").alias("x"), F.lit(0.0).alias("u"))
         if copies is not None:
             fresh = fresh.join(copies.select("rule").distinct(), "rule", "left_anti")
         fresh = cut(fresh)
@@ -271,8 +307,7 @@ def link(events: DataFrame, rules: Rules | None = None) -> DataFrame:
             *ground.columns, F.coalesce("settled", _clipped(F.col("target"))).alias("value")
         )
         values = staged(values, "values")
-    sure = values.where(~F.col("twin") & (F.col("value") >= rules.accept))
-    return sure.select("a", "b", F.col("value").alias("confidence"))
+    return exclusive(values, rules).select("a", "b", F.greatest("value", F.lit(rules.accept)).alias("confidence"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
