@@ -17,6 +17,7 @@ a pair is its confidence.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from quakeloom.functions.geo import haversine_km
 from quakeloom.operators.matching import linked_groups
+from quakeloom.operators.regions import KM_PER_DEGREE
 from quakeloom.session import cut, staged, table
 
-BUCKET_US = 8_000_000
-CELL_DEGREES = 0.25
+OFFSET_S = 3.0  # bound of the usual time difference of two sources
 BLOCK_ROWS = 100_000  # copies that are solved together in one Python task
 
 
@@ -40,7 +41,7 @@ class Rules:
     prior: float = 7.5  # log-odds of a pair with no discrepancy
     scale_s: float = 0.6  # seconds that cost one unit
     scale_km: float = 5.0  # kilometres that cost one unit
-    max_s: float = 8.0
+    max_s: float = 8.0  # rows this near in time always meet
     minute_slip: float = 3.5  # cost of a time wrong by a whole minute
     sign_slip: float = 4.0  # cost of a longitude of wrong sign
     swap: float = 4.0  # cost of exchanged coordinates
@@ -81,52 +82,70 @@ def _views(events: DataFrame) -> DataFrame:
     return e.where("placed").select("id", "source", F.explode(views).alias("v")).select("id", "source", "v.*")
 
 
-def _bucket(us: Column) -> Column:
-    return F.floor(us / BUCKET_US)
+def _reach(rules: Rules) -> tuple[int, int, float]:
+    """The most microseconds, those without a place, and degrees at which log-odds can be above rules.least."""
+    most = rules.prior - rules.least
+    us = lambda odds: round((max(odds, 0.0) * rules.scale_s + OFFSET_S) * 1e6)
+    km = max(most * rules.scale_km, (rules.twin_prior - rules.least) * rules.twin_scale_km)
+    return max(us(most), round(rules.max_s * 1e6)), us(most - rules.no_place), km / KM_PER_DEGREE * 1.0001
 
 
-def _cell(degrees: Column) -> Column:
-    return F.floor(degrees / CELL_DEGREES)
+def _touched(at: Column, reach: Column | float, width: Column | float) -> Column:
+    return F.sequence(F.floor((at - reach) / width), F.floor((at + reach) / width))
 
 
-def _around(c: Column) -> Column:
-    return F.sequence(c - 1, c + 1)
+def _lon_reach(strip: Column, degrees: float) -> Column:
+    """Degrees of longitude that the reach spans at most from a latitude strip of twice its height; 180 near a pole."""
+    far = F.least(F.greatest(F.abs(strip * (2 * degrees)), F.abs((strip + 1) * (2 * degrees))), F.lit(90.0))
+    share = math.sin(math.radians(degrees)) / F.cos(F.radians(far))
+    return F.when((F.cos(F.radians(far)) > 1e-9) & (share < 1), F.degrees(F.asin(F.least(share, F.lit(1.0)))) * 1.0001).otherwise(180.0)
+
+
+def _turned(lon: Column) -> Column:
+    return F.pmod(lon + 180.0, F.lit(360.0))
 
 
 def candidate_pairs(events: DataFrame, rules: Rules) -> DataFrame:
     """(a, b, source_a, source_b, dt, km, slip), a < b: rows near in time and place under some view.
 
-    Blocking keys are a time bucket and a cell of latitude and longitude; rows without a
-    usable place are met by time alone, within a quarter of a bucket.
+    Blocking keys are a time bucket, a latitude strip and a longitude cell of the strip, each at least
+    twice as wide as the rules reach, across the 180th meridian and the poles; a row is sent
+    to those that its reach touches. Rows without a usable place are met by time alone.
     """
-    left = _views(events).select(
+    reach_us, blind_us, degrees = _reach(rules)
+    strip = lambda lat: F.floor(lat / (2 * degrees))
+    cells = F.greatest(F.floor(360.0 / (2 * _lon_reach(F.col("y"), degrees))), F.lit(1))
+    left = _views(events).where(F.abs("lat") <= 90).select(
         F.col("id").alias("a"), F.col("source").alias("source_a"), F.col("us").alias("us_a"), F.col("lat").alias("lat_a"),
-        F.col("lon").alias("lon_a"), "slip", _bucket(F.col("us")).alias("t"), _cell(F.col("lat")).alias("y"), _cell(F.col("lon")).alias("x"),
+        F.col("lon").alias("lon_a"), "slip", F.floor(F.col("us") / (2 * reach_us)).alias("t"), strip(F.col("lat")).alias("y"),
     )
+    left = left.withColumn("n", cells).withColumn("x", F.pmod(F.floor(_turned(F.col("lon_a")) * F.col("n") / 360.0), F.col("n"))).drop("n")
     placed = events.where(_usable(F.col("lat"), F.col("lon")))
     right = placed.select(
         F.col("id").alias("b"), F.col("source").alias("source_b"), F.col("us").alias("us_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"),
     )
-    right = right.withColumn("t", F.explode(_around(_bucket(F.col("us_b")))))
-    right = right.withColumn("y", F.explode(_around(_cell(F.col("lat_b"))))).withColumn("x", F.explode(_around(_cell(F.col("lon_b")))))
+    right = right.withColumn("y", F.explode(_touched(F.col("lat_b"), degrees, 2 * degrees))).withColumn("n", cells)
+    around = _touched(_turned(F.col("lon_b")), _lon_reach(F.col("y"), degrees), 360.0 / F.col("n"))
+    around = F.array_distinct(F.transform(around, lambda c: F.pmod(c, F.col("n"))))
+    right = right.withColumn("x", F.explode(around)).drop("n")
+    right = right.withColumn("t", F.explode(_touched(F.col("us_b"), reach_us, 2 * reach_us)))
     met = left.join(right, ["t", "y", "x"]).where((F.col("a") != F.col("b")) & ((F.col("slip") > 0) | (F.col("a") < F.col("b"))))
     km = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     dt = (F.col("us_a") - F.col("us_b")) / 1e6
     near = met.select("a", "b", "source_a", "source_b", "slip", dt.alias("dt"), km.alias("km"))
-    # rows without a place: narrow time buckets, met with all rows of the bucket
+    # rows without a place: narrower time buckets, met with all rows of the bucket
     lost = events.where(~F.coalesce(_usable(F.col("lat"), F.col("lon")), F.lit(False)))
-    narrow = BUCKET_US // 4
     one = lost.select(
         F.col("id").alias("a"), F.col("source").alias("source_a"), F.col("us").alias("us_a"),
-        F.explode(_around(F.floor(F.col("us") / narrow))).alias("t"),
+        F.explode(_touched(F.col("us"), blind_us, 2 * blind_us)).alias("t"),
     )
     other = events.select(
-        F.col("id").alias("b"), F.col("source").alias("source_b"), F.col("us").alias("us_b"), F.floor(F.col("us") / narrow).alias("t")
+        F.col("id").alias("b"), F.col("source").alias("source_b"), F.col("us").alias("us_b"), F.floor(F.col("us") / (2 * blind_us)).alias("t")
     )
     blind = one.join(other, "t").where(F.col("a") != F.col("b")).select(
         "a", "b", "source_a", "source_b", F.lit(float(rules.no_place)).alias("slip"), dt.alias("dt"), F.lit(0.0).alias("km")
     )
-    both = near.unionByName(blind).where(F.abs("dt") <= rules.max_s)
+    both = near.unionByName(blind).where(F.abs("dt") <= reach_us / 1e6)
     turned = F.col("a") > F.col("b")
     return both.select(
         F.least("a", "b").alias("a"),
@@ -141,7 +160,7 @@ def candidate_pairs(events: DataFrame, rules: Rules) -> DataFrame:
 
 def source_offsets(pairs: DataFrame) -> DataFrame:
     """(source_a, source_b, offset): the usual time difference of two sources (truncation, habits)."""
-    plain = pairs.where((F.col("slip") == 0) & (F.col("source_a") != F.col("source_b")) & (F.abs("dt") <= 3) & (F.col("km") <= 10))
+    plain = pairs.where((F.col("slip") == 0) & (F.col("source_a") != F.col("source_b")) & (F.abs("dt") <= OFFSET_S) & (F.col("km") <= 10))
     return plain.groupBy("source_a", "source_b").agg(F.percentile_approx("dt", 0.5, 1000).alias("offset"))
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -115,3 +116,22 @@ def test_a_row_has_one_partner_in_a_source_or_twins(spark):
     s = 1_000_000
     rows = [(1, "A", 0, 42.5, 0.5), (2, "A", 1_400_000, 42.5, 0.5), (3, "B", 600_000, 42.5, 0.5), (4, "A", 100 * s, 42.5, 0.5), (5, "A", 102 * s, 42.5, 0.5), (6, "B", 101 * s, 42.5, 0.5)]
     assert set(_links(spark, rows)) == {(1, 3), (4, 6)}
+
+
+def test_all_rows_within_the_rules_meet(spark):
+    rng, rows = random.Random(9), []
+    for lat, lon in ((42.5, 0.5), (-0.1, 179.9), (62.0, -179.9), (89.8, 10.0), (-84.0, 100.0)):
+        for _ in range(40):
+            rows.append((len(rows), rng.choice("AB"), rng.randrange(0, 10_000_000), max(-90.0, min(90.0, lat + rng.uniform(-0.5, 0.5))), (lon + rng.uniform(-1, 1) + 180) % 360 - 180))
+    rows += [(len(rows), "C", 4_000_000, None, None)]
+
+    def km(p, q):
+        f = math.radians
+        h = math.sin(f(q[3] - p[3]) / 2) ** 2 + math.cos(f(p[3])) * math.cos(f(q[3])) * math.sin(f(q[4] - p[4]) / 2) ** 2
+        return 2 * 6371 * math.asin(min(1, math.sqrt(h)))
+
+    found = linkage.candidate_pairs(spark.createDataFrame(rows, SCHEMA), linkage.Rules()).collect()
+    plain, blind = {(r.a, r.b) for r in found if r.slip == 0}, {(r.a, r.b) for r in found if r.b == 200}
+    near = {(p[0], q[0]) for p in rows[:-1] for q in rows[:-1] if p[0] < q[0] and km(p, q) <= 47.5 and abs(p[2] - q[2]) <= 8_000_000}
+    assert near <= plain and len(near) > 500
+    assert {(p[0], 200) for p in rows[:-1] if abs(p[2] - 4_000_000) <= 2_700_000} <= blind
