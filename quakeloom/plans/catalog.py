@@ -145,11 +145,13 @@ def double_merged_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuse_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three sources fused in order of trust, loose matches proven by shared readings."""
+    """All sources fused in order of trust, loose matches proven by shared readings."""
     from quakeloom.plans.picks import timed_picks
 
     e = _events(spark, sf_dir, "dep").where("us IS NOT NULL")
-    done = matching.fused([e.where(F.col("source") == s) for s in ("RESIF", "LDG", "ICGC")], timed_picks(spark, sf_dir))
+    ranks = table(spark, sf_dir, "source_info").groupBy("source").agg(F.min("trust_rank").alias("rank"))
+    order = e.select("source").distinct().join(ranks, "source", "left").orderBy(F.col("rank").asc_nulls_last(), F.col("source").asc_nulls_last()).collect()
+    done = matching.fused([e.where(F.col("source").eqNullSafe(F.lit(r.source))) for r in order], timed_picks(spark, sf_dir))
     first = lambda c: F.try_element_at(F.filter(c, lambda v: v.isNotNull()), F.lit(1))
     return done.select("id", "us", first("lats").alias("lat"), first("lons").alias("lon"), first("deps").alias("dep"), F.array_join("members", ",").alias("members"))
 

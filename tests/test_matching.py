@@ -1,8 +1,13 @@
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quakeloom.operators import bands, matching
+from quakeloom.plans import catalog
+
+DATA = "/root/testdata/sf0.001"
 
 
 def _catalog(spark, rng, n, first=0):
@@ -118,3 +123,11 @@ def test_first_come_is_the_file_order(spark):
                 used.add(free[0][2])
                 want.append((i, free[0][2]))
         assert sorted(map(tuple, matching.first_come(pairs, only).collect())) == sorted(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are absent")
+def test_fusion_folds_every_source(spark):
+    done = catalog.fuse_catalogs(spark, DATA).collect()
+    members = sorted(int(m) for r in done for m in r.members.split(","))
+    rows = spark.read.parquet(f"{DATA}/catalog_event.parquet").where("event_dt IS NOT NULL").select("event_uid").collect()
+    assert members == sorted(r.event_uid for r in rows)
