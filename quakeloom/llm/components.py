@@ -1,10 +1,12 @@
 """Problem 6: one group identifier for all records linked directly or over others.
 
 Vertices are hashed into blocks, and every pair of blocks is one cell of a grid of edge
-partitions, so that the edges of a much-linked vertex lie in all cells of its row and
-column. A round runs union-find inside every cell, exchanges the representatives along
-rows and columns (the first one of each vertex in a mixed order wins) and keeps as new edges only the
-disagreements between representatives. It ends when none is left.
+partitions, which holds the edges within the two blocks and between them, so that the edges
+of a much-linked vertex lie in all cells of its row and column. A round runs union-find
+inside every cell, exchanges the representatives along rows and columns (the first one of
+each vertex in a mixed order wins) and keeps as new edges only the disagreements between
+representatives. It ends when none is left: then every vertex has one parent in all cells.
+The grid has at least LEAST_BLOCKS blocks a side, whatever its size.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from quakeloom.session import cut, staged, table
 
 CELL_EDGES = 50_000  # edges that a cell holds on average
+LEAST_BLOCKS = 4  # of vertices, in every round
 
 
 def _priority(vertices: np.ndarray, seed: int) -> np.ndarray:
@@ -55,11 +58,28 @@ def _union_find(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     return pd.DataFrame({"v": names[by_priority], "order": order[root], "rep": names[root]})
 
 
-def _local(edges: DataFrame, blocks: int, seed: int) -> DataFrame:
-    block = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(blocks))
-    grid = edges.withColumn("row", block("u")).withColumn("col", block("v"))
+def _cells(edges: DataFrame, blocks: int, seed: int, cell_edges: int) -> DataFrame:
+    """Edges with the cells (row < col) that they lie in; a cell with far more than its share is split by edges."""
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(blocks)).cast("int")
+    i, j = F.least("_i", "_j"), F.greatest("_i", "_j")
+    cell = lambda a, b: F.struct(F.least(a, b).alias("row"), F.greatest(a, b).alias("col"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: k != F.col("_i"))
+    cells = F.when(i == j, F.transform(others, lambda k: cell(F.col("_i"), k))).otherwise(F.array(cell(F.col("_i"), F.col("_j"))))
+    grid = edges.select("u", "v", block("u").alias("_i"), block("v").alias("_j")).select("u", "v", F.explode(cells).alias("c")).select("u", "v", "c.*")
+    if blocks == LEAST_BLOCKS:  # then there are too few edges for such a cell
+        return grid.withColumn("part", F.lit(0))
+    shares = grid.groupBy("row", "col").agg(F.ceil(F.count("*") / (4 * cell_edges)).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("u", "v"), F.coalesce("parts", F.lit(1))).cast("int")
+    return grid.join(shares, ["row", "col"], "left").select("u", "v", "row", "col", part.alias("part"))
+
+
+def _exchanged(edges: DataFrame, blocks: int, seed: int, cell_edges: int) -> DataFrame:
+    """(v, parent, reps): union-find in each cell, then of each vertex the first of its representatives, and all of them."""
     schema = "v bigint, order bigint, rep bigint"
-    return grid.groupBy("row", "col").applyInPandas(lambda pdf: _union_find(pdf, seed), schema)
+    grid = _cells(edges, blocks, seed, cell_edges)
+    reps = grid.groupBy("row", "col", "part").applyInPandas(lambda pdf: _union_find(pdf, seed), schema)
+    best = reps.groupBy("v").agg(F.min(F.struct("order", "rep")).alias("b"), F.collect_set("rep").alias("reps"))
+    return best.select("v", F.col("b.rep").alias("parent"), "reps")
 
 
 def connected_groups(edges: DataFrame, cell_edges: int = CELL_EDGES) -> DataFrame:
@@ -74,21 +94,21 @@ def connected_groups(edges: DataFrame, cell_edges: int = CELL_EDGES) -> DataFram
     ends = staged(ends, "edges")
     count = ends.count()
     steps: list[DataFrame] = []
-    while count or not steps:
-        blocks = max(1, int(np.ceil(np.sqrt(count / cell_edges))))
-        reps = cut(_local(ends, blocks, len(steps)))
-        step = cut(reps.groupBy("v").agg(F.min(F.struct("order", "rep")).alias("b")).select("v", F.col("b.rep").alias("parent")))
-        steps.append(step)
-        if blocks == 1:  # one cell held all edges: nothing is left to exchange
-            break
-        # a vertex with two representatives links their components
-        ends = reps.join(step, "v").where(F.col("rep") != F.col("parent"))
-        ends = cut(ends.select(F.least("parent", "rep").alias("u"), F.greatest("parent", "rep").alias("v")).distinct())
+    while count or not steps:  # parents are stable once no vertex has two representatives
+        blocks = max(LEAST_BLOCKS, int(np.ceil(np.sqrt(4 * count / cell_edges))))
+        step = staged(_exchanged(ends, blocks, len(steps), cell_edges), "parents")
+        steps.append(step.select("v", "parent"))
+        # a vertex with several representatives links their components
+        apart = step.where(F.size("reps") > 1).select("parent", F.explode("reps").alias("rep")).where(F.col("rep") != F.col("parent"))
+        ends = staged(apart.select(F.least("parent", "rep").alias("u"), F.greatest("parent", "rep").alias("v")).distinct(), "edges")
         count = ends.count()
     roots = steps[-1]
-    for step in reversed(steps[:-1]):
+    for k, step in enumerate(reversed(steps[:-1]), 1):
         later = roots.select(F.col("v").alias("parent"), F.col("parent").alias("root"))
-        roots = cut(step.join(later, "parent", "left").select("v", F.coalesce("root", "parent").alias("parent")))
+        roots = step.join(later, "parent", "left").select("v", F.coalesce("root", "parent").alias("parent"))
+        if k % 4 == 0:
+            roots = cut(roots)
+    roots = staged(roots, "roots")
     least = roots.groupBy("parent").agg(F.min("v").alias("group"))
     return roots.join(least, "parent").select("v", "group")
 
@@ -132,7 +152,7 @@ def report_groups(reports: DataFrame, links: DataFrame) -> DataFrame:
     directly or over others. Refs that name no report, links with another decision, null ids
     and null refs link nothing. Repeated rows count once.
     """
-    groups = cut(connected_groups(report_edges(reports, links)))
+    groups = connected_groups(report_edges(reports, links))
     sizes = groups.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     return groups.join(sizes, "group").select(F.col("v").alias("report_uid"), F.col("group").alias("group_uid"))
 

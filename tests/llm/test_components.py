@@ -41,6 +41,21 @@ def test_chain_and_star(spark):
     assert set(_run(spark, star, 600).values()) == {999}
 
 
+def test_several_cells_at_every_size(spark, monkeypatch):
+    seen = []
+    exchanged = components._exchanged
+    monkeypatch.setattr(components, "_exchanged", lambda e, blocks, *a: seen.append(blocks) or exchanged(e, blocks, *a))
+    edges = [(i, i + 1) for i in range(0, 40, 2)] + [(i, i + 3) for i in range(0, 40, 5)]
+    assert _run(spark, edges) == _brute(edges)
+    assert len(seen) > 1 and min(seen) >= 4
+
+
+def test_hot_cell_is_split(spark):
+    """A hub beside single edges: the cells of its row are split, and nothing is lost."""
+    edges = [(0, i) for i in range(1, 3_000)] + [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(50)]
+    assert _run(spark, edges, 20) == _brute(edges)
+
+
 def test_nulls_loops_repeats_empty(spark):
     assert _run(spark, [(1, None), (None, 2), (3, 3), (4, 5), (5, 4), (4, 5), (-7, 5)]) == {3: 3, 4: -7, 5: -7, -7: -7}
     assert _run(spark, []) == {}
