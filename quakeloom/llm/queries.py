@@ -11,15 +11,18 @@ from quakeloom.llm.confusables import p10_found
 from quakeloom.llm.linkage import p3_found
 from quakeloom.llm.mixing import p9_mix, p9_shares
 from quakeloom.llm.nearest_time import p5_found
-from quakeloom.llm.packing import p8_pack
-from quakeloom.llm.survivor import p7_found
+from quakeloom.llm.packing import p8_pack, p8_rounds, p8_rules
+from quakeloom.llm.survivor import p7_found, p7_layers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p7_layers": p7_layers,
     "p8_pack": p8_pack,
+    "p8_rules": p8_rules,
+    "p8_rounds": p8_rounds,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
@@ -64,3 +67,28 @@ WITH h AS (SELECT DISTINCT report_uid, public_id, trust_rank, revised_ts, regexp
     )
     + f" UNION ALL SELECT public_id, 'picks', report_uid FROM (SELECT public_id, report_uid, {_BEST.format('n DESC,')} AS k FROM h WHERE n > 0) WHERE k = 1",
 }
+
+_BITS = " + ".join(f"CASE WHEN len(t) = 17 AND {_OK.format(*a)} THEN {1 << i} ELSE 0 END" for i, a in enumerate(_FIELDS.values()))
+_FIRST = "row_number() OVER (PARTITION BY public_id ORDER BY layer, {0} trust, age, report_uid)"
+SQL["p7_layers"] = (
+    SQL["p7_found"].partition("UNION ALL")[0].partition("SELECT public_id, 'dep'")[0].replace("WITH h", "WITH RECURSIVE h").rstrip()
+    + f""",
+b AS (SELECT public_id, coalesce(trust_rank, 1000000) AS trust, -n AS fewer, {_BITS} AS fields, coalesce(-epoch_us(revised_ts), 4611686018427387904) AS age, report_uid FROM h),
+c AS (SELECT public_id, trust, fewer, fields, -bit_count(fields) AS lack, age, report_uid FROM b
+  QUALIFY row_number() OVER (PARTITION BY public_id, trust, fewer, fields ORDER BY age, report_uid) = 1),
+chain AS (SELECT public_id, report_uid, 1 AS layer FROM c UNION
+  SELECT r.public_id, r.report_uid, chain.layer + 1 FROM chain JOIN c AS d USING (public_id, report_uid) JOIN c AS r ON r.public_id = d.public_id
+    AND d.trust <= r.trust AND d.fewer <= r.fewer AND d.lack <= r.lack AND d.age <= r.age
+    AND (d.trust < r.trust OR d.fewer < r.fewer OR d.lack < r.lack OR d.age < r.age)),
+l AS (SELECT c.*, k.layer FROM c JOIN (SELECT public_id, report_uid, CAST(max(layer) AS INT) AS layer FROM chain GROUP BY ALL) AS k USING (public_id, report_uid))
+"""
+    + " UNION ALL ".join(
+        f"SELECT public_id, '{f}' AS field_name, report_uid, layer FROM (SELECT *, {_FIRST.format('')} AS k FROM l WHERE fields & {1 << i} <> 0) WHERE k = 1"
+        for i, f in enumerate(_FIELDS)
+    )
+    + f" UNION ALL SELECT public_id, 'picks', report_uid, layer FROM (SELECT *, {_FIRST.format('fewer,')} AS k FROM l WHERE fewer < 0) WHERE k = 1"
+)
+SQL["p8_rules"] = """
+SELECT pack_name, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS documents, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS split,
+  CAST(0 AS BIGINT) AS repeated FROM pack_size
+"""

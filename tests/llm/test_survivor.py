@@ -68,3 +68,21 @@ def test_ties_repeats_and_empty(spark):
     rows += [(4, "X", "A", _header(), None, _at(1))]
     assert set(_run(spark, rows).values()) == {4}
     assert _run(spark, []) == {}
+
+
+def test_layers_decide(spark):
+    """The most complete, recent and trusted report lacks a field: it comes from the second or third layer."""
+    rows = [
+        (1, "X", "A", _header(erv="None"), [_pick("F.A")], _at(9)),
+        (2, "X", "B", _header(erv="None", rms="nan", dep="None"), [_pick("F.A")], _at(5)),  # dominated by 1
+        (3, "X", "B", _header(mag="None", rms="nan", dep="None", gap="?"), None, _at(3)),  # dominated by 1 and 2
+    ]
+    s = spark.createDataFrame(SOURCES, "source string, trust_rank int")
+    got = {r.field_name: (r.report_uid, r.layer) for r in survivor.surviving_fields(spark.createDataFrame(rows, SCHEMA), s).collect()}
+    assert got["erv"] == (3, 3) and got["dep"] == (1, 1) and got["picks"] == (1, 1)
+    # an undominated but less trusted report has the field too: the layers alone prefer it, the exact walk does not
+    rows += [(4, "X", "C", _header(), None, _at(10))]
+    data = spark.createDataFrame(rows, SCHEMA)
+    exact = {r.field_name: r.report_uid for r in survivor.surviving_fields(data, s).collect()}
+    first = {r.field_name: (r.report_uid, r.layer) for r in survivor.surviving_fields(data, s, exact=False).collect()}
+    assert exact["erv"] == 3 and first["erv"] == (4, 1)
