@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Networks of the permanent stations.
@@ -50,27 +50,33 @@ def rounded_origin_us(us: Column) -> Column:
     return (F.bround(us / 1e4) * 10_000).cast("bigint")
 
 
-def ellipsoid_errors(az1: Column, dip1: Column, len1: Column, az2: Column, dip2: Column, len2: Column, len3: Column) -> tuple[Column, Column]:
-    """(horizontal, vertical) error of an error ellipsoid given by two axes and the third's length.
+def with_ellipsoid_errors(df: DataFrame) -> DataFrame:
+    """df (az1, dip1, len1, az2, dip2, len2, len3) with erh and erv, the errors of the error ellipsoid given by two axes and the third's length.
 
     The third axis is at right angles to the other two; a degenerate pair of axes gives null.
+    The components are columns of their own, so that each is computed once.
     """
-
-    def axis(az: Column, dip: Column) -> tuple[Column, Column, Column]:
-        a, d = F.radians(az), F.radians(dip)
-        return F.cos(d) * F.sin(a), F.cos(d) * F.cos(a), F.sin(d)
-
-    u, v = axis(az1, dip1), axis(az2, dip2)
-    w = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
-    size = F.sqrt(w[0] * w[0] + w[1] * w[1] + w[2] * w[2])
-    axes = [(u, len1), (v, len2), (tuple(F.when(size > 1e-12, c / size) for c in w), len3)]
-
-    def cov(i: int, j: int) -> Column:
-        return sum((k * k * x[i] * x[j] for x, k in axes[1:]), axes[0][1] * axes[0][1] * axes[0][0][i] * axes[0][0][j])
-
-    a, b, c = cov(0, 0), cov(0, 1), cov(1, 1)
-    greatest = (a + c) / 2 + F.sqrt((a - c) / 2 * ((a - c) / 2) + b * b)
-    return F.sqrt(greatest), F.sqrt(cov(2, 2))
+    kept = df.columns
+    for n in ("1", "2"):
+        az, dip = F.radians(f"az{n}"), F.radians(f"dip{n}")
+        df = df.withColumns({f"_{n}x": F.cos(dip) * F.sin(az), f"_{n}y": F.cos(dip) * F.cos(az), f"_{n}z": F.sin(dip)})
+    c = F.col
+    df = df.withColumns({
+        "_3x": c("_1y") * c("_2z") - c("_1z") * c("_2y"),
+        "_3y": c("_1z") * c("_2x") - c("_1x") * c("_2z"),
+        "_3z": c("_1x") * c("_2y") - c("_1y") * c("_2x"),
+    })
+    df = df.withColumn("_size", F.sqrt(c("_3x") * c("_3x") + c("_3y") * c("_3y") + c("_3z") * c("_3z")))
+    df = df.withColumns({f"_3{a}": F.when(c("_size") > 1e-12, c(f"_3{a}") / c("_size")) for a in "xyz"})
+
+    def cov(a: str, b: str) -> Column:
+        one, two, three = (c(f"len{n}") * c(f"len{n}") * c(f"_{n}{a}") * c(f"_{n}{b}") for n in "123")
+        return one + two + three
+
+    df = df.withColumns({"_a": cov("x", "x"), "_b": cov("x", "y"), "_c": cov("y", "y"), "_z": cov("z", "z")})
+    half = (c("_a") - c("_c")) / 2
+    erh = F.sqrt((c("_a") + c("_c")) / 2 + F.sqrt(half * half + c("_b") * c("_b")))
+    return df.select(*[k for k in kept if k not in ("erh", "erv")], erh.alias("erh"), F.sqrt("_z").alias("erv"))
 
 
 def interpolated(distance: Column, table: Column, field: str, step: float) -> Column:

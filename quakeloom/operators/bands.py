@@ -24,18 +24,24 @@ def band_join(left: DataFrame, right: DataFrame, left_us: str, right_us: str, lo
     return met if on is None else met.where(on)
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with a gapless number from 1 in the given order, without one task sorting everything.
+def running_sums(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """df with the sum of value over all rows up to this one in the given order, without one task sorting everything.
 
-    Rows are range-partitioned, numbered within the partition and shifted by the sizes of
-    the partitions before (one row each). The order must be total for the numbers to be determined.
+    Rows are range-partitioned, summed within the partition and shifted by the sums of
+    the partitions before (one row each). The order must be total for the sums to be determined.
     """
-    ranged = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("_part").count()
+    ranged = staged(df.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_part").agg(F.sum("_value").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.join(F.broadcast(shifts), "_part").withColumn(name, within + F.col("_shift")).drop("_part", "_shift")
+    shifts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    within = F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a row for each partition of the session's shuffle setting
+    return ranged.join(F.broadcast(shifts), "_part").withColumn(name, within + F.col("_shift")).drop("_part", "_shift", "_value")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a gapless number from 1 in the given order, by running sums of ones."""
+    return running_sums(df, order, F.lit(1), name)
 
 
 def coded_times(picks: DataFrame, sites: DataFrame) -> DataFrame:

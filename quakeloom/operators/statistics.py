@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quakeloom.operators.bands import running_sums
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -49,8 +51,29 @@ def grid_windows(events: DataFrame, value: str, grid: Grid | None = None, by: li
 def cumulative_counts(mags: DataFrame) -> DataFrame:
     """(mag, n, n_at_least) for each distinct magnitude; the running sum is over distinct values only."""
     counts = mags.where(F.col("mag").isNotNull()).groupBy("mag").agg(F.count("*").alias("n"))
-    from_top = Window.orderBy(F.col("mag").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("n_at_least", F.sum("n").over(from_top))
+    return running_sums(counts, [F.col("mag").desc()], F.col("n"), "n_at_least")
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row with an array q of exact quantiles, interpolated between neighbours; nulls do not count.
+
+    Distinct values are counted, range-partitioned and numbered by running sums; the values at
+    the two places beside each quantile are picked out by number.
+    """
+    counts = df.where(F.col(column).isNotNull() & ~F.isnan(column)).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    upto = running_sums(counts, [F.col("_v")], F.col("_n"), "_upto")
+    total = upto.agg((F.max("_upto") - 1).alias("_last"))
+    place = lambda p: F.lit(float(p)) * F.col("_last")
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), side.alias("at")) for k, p in enumerate(shares) for side in (F.floor(place(p)), F.ceil(place(p)))])
+    held = upto.join(F.broadcast(total)).select("_v", "_n", "_upto", "_last", F.explode(wanted).alias("w"))  # total is one row
+    held = held.where((F.col("w.at") < F.col("_upto")) & (F.col("w.at") >= F.col("_upto") - F.col("_n")))
+    own = lambda k: F.col("w.k") == k
+    marks = []
+    for k, p in enumerate(shares):
+        low, high = F.min(F.when(own(k), F.col("_v"))), F.max(F.when(own(k), F.col("_v")))
+        at = F.max(place(p))
+        marks.append(low + (high - low) * (at - F.floor(at)))
+    return held.agg(F.array(*marks).alias("q"))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -72,12 +95,13 @@ def histogram_2d(df: DataFrame, x: str, y: str, x_range: tuple[float, float], y_
 
 
 def central(df: DataFrame, columns: list[str], low: float, high: float) -> DataFrame:
-    """The rows whose columns all lie between their exact quantiles low and high; one pass for the quantiles."""
-    marks = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in columns])
-    inside = F.lit(True)
+    """The rows whose columns all lie between their exact quantiles low and high."""
+    inside = df
     for c in columns:
-        inside = inside & (F.col(c) >= F.get(f"_{c}", F.lit(0))) & (F.col(c) <= F.get(f"_{c}", F.lit(1)))
-    return df.join(F.broadcast(marks)).where(inside).drop(*[f"_{c}" for c in columns])  # marks is one row
+        marks = quantiles(df, c, [low, high]).withColumnRenamed("q", "_q")
+        kept = F.col(c).between(F.get("_q", F.lit(0)), F.get("_q", F.lit(1)))
+        inside = inside.join(F.broadcast(marks)).where(kept).drop("_q")  # marks is one row
+    return inside
 
 
 def two_piece_fits(pairs: DataFrame, by: list[str], hinge: float = 2.0) -> DataFrame:
@@ -127,13 +151,13 @@ def fit_diagnostics(pairs: DataFrame, by: list[str], hinge: float = 2.0) -> Data
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, spearman): rank correlation over rows that have both values, ties at their mean rank.
 
-    Ranks come from the counts of distinct values, so that the running sums pass over distinct values only.
+    Ranks come from the counts of distinct values by running sums over range partitions.
     """
     both = df.select(x, y).dropna()
 
     def ranks(c: str) -> DataFrame:
         counts = both.groupBy(c).agg(F.count("*").alias("_n"))
-        below = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-        return counts.select(c, (below + (F.col("_n") + 1) / 2).alias(f"_{c}"))
+        upto = running_sums(counts, [F.col(c)], F.col("_n"), "_upto")
+        return upto.select(c, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"_{c}"))
 
     return both.join(ranks(x), x).join(ranks(y), y).agg(F.count("*").alias("n"), F.corr(f"_{x}", f"_{y}").alias("spearman"))

@@ -193,8 +193,8 @@ SELECT event_uid AS id FROM catalog_event, q WHERE rms <= q.q + 1e-9""")
 def quantile_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose rms is at most its 99 % quantile."""
     e = table(spark, sf_dir, "catalog_event").select(F.col("event_uid").alias("id"), "rms")
-    mark = e.agg(F.percentile("rms", 0.99).alias("q"))
-    return e.join(F.broadcast(mark)).where(F.col("rms") <= F.col("q") + 1e-9).select("id")  # mark is one row
+    mark = statistics.quantiles(e, "rms", [0.99])
+    return e.join(F.broadcast(mark)).where(F.col("rms") <= F.get("q", F.lit(0)) + 1e-9).select("id")  # mark is one row
 
 
 @query("""WITH q AS (SELECT quantile_cont(erh, 5e-3) AS h0, quantile_cont(erh, 9.95e-1) AS h1, quantile_cont(erv, 5e-3) AS v0, quantile_cont(erv, 9.95e-1) AS v1
@@ -436,8 +436,7 @@ c AS (SELECT public_id, len1 * len1 * u0 * u0 + len2 * len2 * v0 * v0 + len3 * l
 @query(_ELL + f"SELECT public_id, {_FIX.format('sqrt((a + c) / 2 + sqrt((a - c) / 2 * ((a - c) / 2) + b * b))')} AS erh, {_FIX.format('sqrt(z)')} AS erv FROM c")
 def ellipsoid_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Horizontal and vertical errors of the best solutions from their error ellipsoids."""
-    h, v = seismic.ellipsoid_errors(*[F.col(c) for c in ("az1", "dip1", "len1", "az2", "dip2", "len2", "len3")])
-    done = _best(spark, sf_dir).select("public_id", fixed(h).alias("erh"), fixed(v).alias("erv"))
+    done = seismic.with_ellipsoid_errors(_best(spark, sf_dir)).select("public_id", fixed(F.col("erh")).alias("erh"), fixed(F.col("erv")).alias("erv"))
     return done.where(F.col("erh").isNotNull())
 
 

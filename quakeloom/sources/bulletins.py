@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.functions.seismic import pick_error
+from quakeloom.session import staged
 
 
 @dataclass(frozen=True)
@@ -45,15 +46,18 @@ def _micros(seconds: Column) -> Column:
 
 
 def _blocks(spark: SparkSession, path: str, marker: str) -> DataFrame:
-    """One row per text between markers, split by the reader itself, so that files need not fit a task."""
+    """One row per text between markers, split by the reader itself, so that files need not fit a task.
+
+    Kept as a table, so that the events and picks read from it have one key.
+    """
     raw = spark.read.option("lineSep", marker).text(path)
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), lines.alias("lines"))
+    return staged(raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), lines.alias("lines")), "blocks")
 
 
 def _pick_lines(blocks: DataFrame, first: int) -> DataFrame:
     """Lines from the given one to the first empty one."""
-    rest = F.slice("lines", first + 1, 1_000_000)
+    rest = F.slice("lines", F.lit(first + 1), F.greatest(F.size("lines"), F.lit(0)))
     end = F.array_position(F.transform(rest, lambda x: F.trim(x) == ""), F.lit(True))
     own = F.when(end > 0, F.slice(rest, F.lit(1), (end - 1).cast("int"))).otherwise(rest)
     return blocks.select("*", F.posexplode(own).alias("k", "line")).drop("lines")
@@ -189,7 +193,7 @@ def best_magnitude(magnitudes: Column, preferred: Column, kind: str) -> Column:
 def read_quakeml(spark: SparkSession, path: str, mag_type: str = "MLv") -> tuple[DataFrame, DataFrame]:
     """Events with a magnitude of the wanted type, their first origin, and manual P and S picks cut to milliseconds."""
     raw = spark.read.format("xml").option("rowTag", "event").schema(_QUAKEML).load(path)
-    raw = raw.withColumn("file", F.col("_metadata.file_path")).withColumn("seq", F.monotonically_increasing_id())
+    raw = staged(raw.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq")), "blocks")
     o, m = F.get("origin", F.lit(0)), best_magnitude(F.col("magnitude"), F.col("preferredMagnitudeID"), mag_type)
     us = lambda t: F.unix_micros(F.to_timestamp(F.regexp_replace(t, "Z$", "")))
     e = raw.withColumn("m", m).where(F.col("m").isNotNull())

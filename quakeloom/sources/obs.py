@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Pick columns as (name, first character, end), counted from 0.
@@ -34,36 +34,52 @@ def pick_columns(line: Column) -> dict[str, Column]:
     return out | {"err_s": number(text["errmag"]), "coda": number(text["coda"]), "amp": number(text["amp"]), "period": number(text["period"])}
 
 
-def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    """One row per event block: block (lines), file and place in it."""
-    raw = spark.read.option("lineSep", "\n\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("seq"), "value"
-    )
-    lines = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("###"))
-    return raw.select("file", "seq", lines.alias("lines")).where(F.get("lines", F.lit(0)).startswith("#"))
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a bulletin that are not blank and no comment (###): file, seq, at, line.
+
+    An event begins at each line that begins with "# "; seq is the number of such lines in the
+    file up to this one, counted within each split of the file and shifted by the splits
+    before, so that events and picks that are read apart have the same key. at keeps the order within an event.
+    Lines before the first event are left out. Any line end will do.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"),
+        F.rtrim(F.regexp_replace("value", "\r", "")).alias("line"),
+    )
+    raw = raw.where(F.col("line").rlike(r"\S") & ~F.col("line").startswith("###"))
+    head = F.col("line").startswith("# ").cast("long")
+    counts = raw.groupBy("file", "split").agg(F.sum(head).alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    shifts = counts.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    upto = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seq = F.sum(head).over(upto) + F.col("shift")
+    numbered = raw.join(shifts, ["file", "split"]).withColumn("seq", seq).where("seq > 0")
+    return numbered.select("file", "seq", F.struct("split", "at").alias("at"), "line")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The headers of a bulletin: file, seq (order in the file), origin_us and the typed header columns, public_id.
+    """The headers of a bulletin: file, seq (order in the file, from 1), origin_us and the typed header columns, public_id.
 
     A header of other than 17 tokens gives nulls in all of them, so that nothing is lost silently.
     """
-    tokens = F.split(F.trim(F.regexp_replace(F.get("lines", F.lit(0)), r"^#\s*", "")), r"\s+")
-    b = _blocks(spark, path).withColumn("t", F.when(F.size(tokens) == 17, tokens))
+    lines = _lines(spark, path)
+    name = F.when(F.col("line").startswith("PUBLIC_ID"), F.struct("at", F.get(F.split("line", r"\s+"), F.lit(1)).alias("id")))
+    blocks = lines.groupBy("file", "seq").agg(F.max(F.when(F.col("line").startswith("# "), F.col("line"))).alias("head"), F.min(name)["id"].alias("public_id"))
+    tokens = F.split(F.trim(F.regexp_replace("head", r"^#\s*", "")), r"\s+")
+    b = blocks.withColumn("t", F.when(F.size(tokens) == 17, tokens))
     t = {n: F.get("t", F.lit(i)) for i, n in enumerate(HEADER)}
     whole = F.try_make_timestamp(*[t[n].try_cast("int") for n in HEADER[:5]], F.lit(0.0))
     us = F.unix_micros(whole) + F.floor(number(t["sec"]) * 1e6 + 0.5).cast("bigint")
-    public = F.get(F.filter("lines", lambda x: x.startswith("PUBLIC_ID")), F.lit(0))
     text = [F.when(~t[n].isin(*MISSING), t[n]).alias(n) for n in ("mag_type", "mag_author")]
     numbers = [number(t[n]).alias(n) for n in ("lat", "lon", "dep", "mag", "phase_count", "erh", "erv", "az_gap", "rms")]
-    return b.select("file", "seq", us.alias("origin_us"), *numbers, *text, F.split(public, r"\s+")[1].alias("public_id"))
+    return b.select("file", "seq", us.alias("origin_us"), *numbers, *text, "public_id")
 
 
 def read_picks(spark: SparkSession, path: str) -> DataFrame:
     """The pick lines of a bulletin: file, seq of the event, pick_seq and the typed pick columns."""
-    own = F.filter(F.slice("lines", 2, 100_000_000), lambda x: ~x.startswith("PUBLIC_ID"))
-    p = _blocks(spark, path).select("file", "seq", F.posexplode(own).alias("k", "line"))
-    return p.select("file", "seq", (F.col("k") + 1).alias("pick_seq"), *[c.alias(n) for n, c in pick_columns(F.col("line")).items()])
+    p = _lines(spark, path).where(~F.col("line").startswith("# ") & ~F.col("line").startswith("PUBLIC_ID"))
+    k = F.row_number().over(Window.partitionBy("file", "seq").orderBy("at"))
+    return p.select("file", "seq", k.alias("pick_seq"), *[c.alias(n) for n, c in pick_columns(F.col("line")).items()])
 
 
 def _text(c: Column, form: str) -> Column:

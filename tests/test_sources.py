@@ -25,7 +25,7 @@ def _line(width, **at):
 def test_obs_round_trip(spark, tmp_path):
     text = (
         "### Catalog\n### Columns\n\n"
-        "# 2020 1 2 3 4 5.25 42.91 -0.65 8.0 1.70 ML LDG 6.0 None None 120.0 0.21\nPUBLIC_ID PYRENEES_000001\n"
+        "# 2020 1 2 3 4 5.25 42.91 -0.65 8.0 1.70 ML LDG 6.0 None None 120.0 0.21\nPUBLIC_ID EVENT_000001\n"
         "FR.0001   ?    ?    ? P      ? 20200102 0304 07.100 GAU 0.05      -1.00e+00 -1.00e+00 -1.00e+00 # Pg     None LDG       None\n\n"
         "# 2020 1 2 4 0 59.9999 42.0 1.0 None None None None None None None None None\n\n"
         "# too few tokens\n"
@@ -33,7 +33,7 @@ def test_obs_round_trip(spark, tmp_path):
     (tmp_path / "a.obs").write_text(text)
     events = obs.read_events(spark, str(tmp_path / "a.obs")).orderBy("seq").collect()
     assert [(e.origin_us, e.lat, e.dep, e.mag, e.mag_type, e.erh, e.public_id) for e in events] == [
-        (_us(3, 4, 5.25), 42.91, 8.0, 1.7, "ML", None, "PYRENEES_000001"),
+        (_us(3, 4, 5.25), 42.91, 8.0, 1.7, "ML", None, "EVENT_000001"),
         (_us(4, 0, 59.9999), 42.0, None, None, None, None, None),
         (None, None, None, None, None, None, None),
     ]
@@ -47,11 +47,47 @@ def test_obs_round_trip(spark, tmp_path):
     lines = picks.select("seq", "pick_seq", obs.pick_line(F.col("us"), **{f: F.col(f) for f in ("code", "phase", "err_s", "channel", "origin")}).alias("line"))
     obs.write(head, lines, str(tmp_path / "out"))
     again = obs.read_events(spark, str(tmp_path / "out")).orderBy("origin_us").collect()
-    assert [(e.lat, e.mag, e.public_id) for e in again] == [(42.91, 1.7, "PYRENEES_000001"), (42.0, None, None)]
+    assert [(e.lat, e.mag, e.public_id) for e in again] == [(42.91, 1.7, "EVENT_000001"), (42.0, None, None)]
     q = obs.read_picks(spark, str(tmp_path / "out")).first()
     assert (q.code, q.phase, q.us, q.err_s) == (p.code, p.phase, p.us, p.err_s)
 
 
+@pytest.mark.parametrize("gap", ["\n", " \n", "\t\n\n", ""])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_obs_blocks_begin_at_headers(spark, tmp_path, gap, end):
+    """Blank lines of any kind, or none, and both line ends: three events, each with its own picks."""
+    pick = "FR.000%d   ?    ?    ? P      ? 20200102 0304 07.100 GAU 0.05      -1.00e+00 -1.00e+00 -1.00e+00 # Pg     None LDG       None\n"
+    blocks = [f"# 2020 1 2 {h} 4 5.25 42.91 -0.65 8.0 1.70 ML LDG 6.0 None None 120.0 0.21\nPUBLIC_ID E{h}\n" + "".join(pick % k for k in range(h)) for h in (1, 2, 3)]
+    text = "### Catalog\n" + gap + gap.join(blocks)
+    (tmp_path / "a.obs").write_bytes(text.replace("\n", end).encode())
+    (tmp_path / "b.obs").write_bytes(blocks[1].encode())
+    path = str(tmp_path / "*.obs")
+    events = {(e.file[-5:], e.seq): e for e in obs.read_events(spark, path).collect()}
+    assert {k: (e.public_id, e.origin_us) for k, e in events.items()} == {
+        ("a.obs", 1): ("E1", _us(1, 4, 5.25)), ("a.obs", 2): ("E2", _us(2, 4, 5.25)), ("a.obs", 3): ("E3", _us(3, 4, 5.25)), ("b.obs", 1): ("E2", _us(2, 4, 5.25)),
+    }
+    picks = sorted((p.file[-5:], p.seq, p.pick_seq, p.code) for p in obs.read_picks(spark, path).collect())
+    assert picks == [("a.obs", h, k + 1, f"FR.000{k}") for h in (1, 2, 3) for k in range(h)] + [("b.obs", 1, k + 1, f"FR.000{k}") for k in range(2)]
+
+
+def test_obs_keys_over_splits(spark, tmp_path):
+    """A file in many splits: events and picks still have one key, in the order of the file."""
+    lines = []
+    for i in range(400):
+        lines.append(f"# 2020 1 2 {i % 24} 4 5.25 42.91 -0.65 8.0 1.70 ML LDG {i} None None 120.0 0.21")
+        lines += [f"XX.{i:04}   ?    ?    ? P      ? 20200102 0304 07.100 GAU 0.05      -1.00e+00 -1.00e+00 -1.00e+00 # Pg     None LDG       None"] * (i % 3)
+    (tmp_path / "a.obs").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        events = {e.seq: int(e.phase_count) for e in obs.read_events(spark, str(tmp_path)).collect()}
+        picks = [(p.seq, p.code, p.pick_seq) for p in obs.read_picks(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert events == {i + 1: i for i in range(400)}
+    assert sorted(picks) == [(i + 1, f"XX.{i:04}", k + 1) for i in range(400) for k in range(i % 3)]
+
+
 def _gse2_pick(station, phase, time, flag="m__"):
     return _line(125, c0=station, c19=phase, c28=time, c99=flag, c114="CA", c119="HHZ")
 

@@ -45,14 +45,13 @@ def test_ellipsoid_errors(spark):
     rng = np.random.default_rng(4)
     rows = [tuple(map(float, rng.uniform([0, -60, 1, 0, -60, 1, 1], [360, 60, 5, 360, 60, 5, 5]))) for _ in range(30)]
     df = spark.createDataFrame(rows, "az1 double, dip1 double, len1 double, az2 double, dip2 double, len2 double, len3 double")
-    h, v = seismic.ellipsoid_errors(*[F.col(c) for c in df.columns])
-    for r in df.select("*", h.alias("h"), v.alias("v")).collect():
+    for r in seismic.with_ellipsoid_errors(df).collect():
         unit = lambda az, dip: np.array([np.cos(dip) * np.sin(az), np.cos(dip) * np.cos(az), np.sin(dip)])
         a, b = unit(*np.radians([r.az1, r.dip1])), unit(*np.radians([r.az2, r.dip2]))
         c = np.cross(a, b)
         axes = np.column_stack([a * r.len1, b * r.len2, c / np.linalg.norm(c) * r.len3])
         cov = axes @ axes.T
-        assert r.v == pytest.approx(np.sqrt(cov[2, 2])) and r.h == pytest.approx(np.sqrt(np.linalg.eigvalsh(cov[:2, :2])[-1]))
+        assert r.erv == pytest.approx(np.sqrt(cov[2, 2])) and r.erh == pytest.approx(np.sqrt(np.linalg.eigvalsh(cov[:2, :2])[-1]))
 
 
 def test_packed_statistics(spark):
@@ -79,3 +78,15 @@ def test_spearman_with_ties(spark):
     rank = lambda v: [sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v]
     x, y = zip(*rows, strict=True)
     assert got.n == 80 and got.spearman == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+
+
+def test_quantiles_and_counts_over_partitions(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=500), 2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+    shares = [0.0, 0.005, 0.25, 0.5, 0.99, 1.0]
+    assert statistics.quantiles(df, "x", shares).first().q == pytest.approx(np.quantile(x, shares).tolist())
+    assert statistics.quantiles(df.where("x > 100"), "x", [0.5]).first().q == [None]
+    mags = spark.createDataFrame([(float(v),) for v in np.round(x, 1)] + [(None,)], "mag double")
+    for r in statistics.cumulative_counts(mags).collect():
+        assert r.n_at_least == int(np.sum(np.round(x, 1) >= r.mag - 1e-9))
