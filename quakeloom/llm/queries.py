@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quakeloom.llm.components import p6_found
-from quakeloom.llm.confusables import p10_found
+from quakeloom.llm.confusables import p10_classes, p10_forms, p10_found, p10_rules
 from quakeloom.llm.linkage import p3_found
 from quakeloom.llm.mixing import p9_mix, p9_shares
 from quakeloom.llm.nearest_time import p5_found
@@ -26,6 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
+    "p10_classes": p10_classes,
+    "p10_forms": p10_forms,
+    "p10_rules": p10_rules,
 }
 
 _ENTITY = r"upper(regexp_extract(regexp_replace(code, '\s', '', 'g'), '^([^.]+\.[^.]+)', 1))"
@@ -92,3 +95,6 @@ SQL["p8_rules"] = """
 SELECT pack_name, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS documents, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS split,
   CAST(0 AS BIGINT) AS repeated FROM pack_size
 """
+SQL["p10_rules"] = """
+SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS without_form, CAST(0 AS BIGINT) AS unstable FROM documents WHERE text IS NOT NULL
+"""

@@ -38,3 +38,35 @@ def test_pairs(spark):
     forms = {r.doc_id: r.form for r in confusables.to_one_form(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert forms[2] == "cafe" and forms[5] is None and forms[7] == "" and forms[9] == long.strip()
     assert confusables.look_alikes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+PUBLIC = [("νote", "vote"), ("ρay", "pay"), ("ιt", "it"), ("αpple", "apple"), ("ϲat", "cat"), ("ɑpple", "apple"), ("ոote", "note"), ("Ꭺpple", "Apple")]
+
+
+def test_public_table(spark, tmp_path):
+    looks = confusables.look_table(spark)
+    speller = confusables.Speller(looks)
+    for a, b in PUBLIC + SAME:
+        assert speller.form(a) == speller.form(b), (a, b)
+        assert speller.form(speller.form(a)) == speller.form(a)
+    for a, b in DIFFERENT:
+        assert speller.form(a) != speller.form(b), (a, b)
+    for c in map(chr, range(128)):  # what makes ASCII texts their own form
+        assert speller.form("é " + c) == ("é " + c).strip()
+    (tmp_path / "list.txt").write_text("# list\n03BD ;\t0076 ;\tMA\t# nu\n\n0441 ; 0063 ; MA\n")
+    own = confusables.Speller(confusables.look_table(spark, str(tmp_path / "list.txt")))
+    assert own.form("νote") == "vote" and own.form("ρay") == confusables.look_form("ρay")
+
+
+def test_counts_of_tokens(spark):
+    docs = spark.createDataFrame([(1, "cop and Ѕеnyora é"), (2, "plain"), (3, None), (4, "")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.form, r.mixed, r.whole) for r in confusables.to_one_form(docs).collect()}
+    assert got == {1: ("cop and Senyora é", 1, 0), 2: ("plain", 0, 0), 3: (None, None, None), 4: ("", 0, 0)}
+
+
+def test_classes_have_a_row_for_each_document(spark):
+    rows = [(i, "same text") for i in range(5)] + [(9, "ѕame text"), (8, "sаme text"), (7, "other"), (6, None), (9, "ѕame text")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(confusables.look_classes(docs).collect())
+    assert [tuple(r) for r in got] == [(i, 0, 3) for i in (0, 1, 2, 3, 4, 8, 9)]
+    assert confusables.look_classes(docs.limit(0)).count() == 0
