@@ -28,10 +28,6 @@ def _prefix(us: Column, length: Column) -> Column:
     return F.call_function("shiftright", us, F.lit(BITS) - length)
 
 
-def _key(entity: Column, length: Column, prefix: Column) -> Column:
-    return F.xxhash64(entity, length, prefix)
-
-
 def _first_difference(a: Column, b: Column) -> Column:
     """How many leading bits two times of one block share (0 to BITS); -1 without b or in another block."""
     x = a.bitwiseXOR(b)
@@ -42,7 +38,7 @@ def _first_difference(a: Column, b: Column) -> Column:
 def trie_tables(leaves: DataFrame) -> DataFrame:
     """Trie nodes of leaves (entity, block, us, id; one row for each entity and us).
 
-    key, entity, length, prefix and the least and greatest leaf below the node (us, id) with
+    entity, length, prefix and the least and greatest leaf below the node (us, id) with
     the neighbour in the entity's order before the least and behind the greatest (beside_us, beside_id).
     """
     # The order is cut into windows a block wide; the neighbours of a block's first and
@@ -69,7 +65,6 @@ def trie_tables(leaves: DataFrame) -> DataFrame:
             *[F.max(F.when(at > F.col("left"), F.col(c))).alias(f"least_{n}") for n, c in _ENDS["previous"].items()],
             *[F.max(F.when(at > F.col("right"), F.col(c))).alias(f"greatest_{n}") for n, c in _ENDS["next"].items()],
         )
-        .withColumn("key", _key(F.col("entity"), F.col("length"), F.col("prefix")))
     )
 
 
@@ -95,7 +90,8 @@ def nearest_in_time(queries: DataFrame, leaves: DataFrame, tolerance_us: int) ->
     single = single.join(asked.select("entity", "block").distinct(), ["entity", "block"], "left_semi")
     nodes = trie_tables(single).persist(StorageLevel.MEMORY_AND_DISK)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keys = nodes.select("key", F.lit(True).alias("there")).repartition(n, "key").persist(StorageLevel.MEMORY_AND_DISK)
+    place = ["entity", "length", "prefix"]
+    keys = nodes.select(*place, F.lit(True).alias("there")).repartition(n, *place).persist(StorageLevel.MEMORY_AND_DISK)
     # In another block the time itself is replaced by that block's nearest end.
     start = F.call_function("shiftleft", F.col("block"), F.lit(BITS))
     asked = asked.withColumn("at", F.greatest(F.least("us", start + (1 << BITS) - 1), start))
@@ -103,13 +99,11 @@ def nearest_in_time(queries: DataFrame, leaves: DataFrame, tolerance_us: int) ->
     asked = asked.withColumn("found", F.lit(-1))
     for step in reversed(range(STEPS)):
         length = F.col("found") + (1 << step)
-        asked = asked.withColumn("length", length).withColumn(
-            "key", F.when(length <= BITS, _key(F.col("entity"), length, _prefix(F.col("at"), length)))
-        )
-        asked = asked.join(keys, "key", "left").withColumn(
+        asked = asked.withColumn("length", length).withColumn("prefix", F.when(length <= BITS, _prefix(F.col("at"), length)))
+        asked = asked.join(keys, place, "left").withColumn(
             "found", F.when(F.col("there"), F.col("length")).otherwise(F.col("found"))
         )
-        asked = asked.drop("there", "key", "length")
+        asked = asked.drop("there", "prefix", "length")
     asked = asked.where(F.col("found") >= 0).withColumnRenamed("found", "length")
     asked = asked.withColumn("prefix", _prefix(F.col("at"), F.col("length")))
     hit = asked.join(nodes, ["entity", "length", "prefix"])
