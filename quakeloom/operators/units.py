@@ -77,6 +77,7 @@ MISSING_VALUES = (-999.0, 9.9)  # fixed values: the sentinels of two source form
 LEAST_MAGNITUDE = -5.0
 MOST_MAGNITUDE = 10.0
 MAX_DISTANCE = 0.2  # of the edit distance over the longer spelling's letters and digits
+SALTS = 16  # places of an alias, so that a remark on most rows is no single task
 LEAST_SHARED = 0.4  # share of the shorter spelling's bigrams
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　 "
@@ -168,7 +169,8 @@ def alias_dictionary(spellings: DataFrame, known: DataFrame) -> DataFrame:
         .select("kind", "spelling", "rank", "known", "unit", "scale")
     )
     schema = "kind string, spelling string, rank int, known string, unit string, scale string, distance double"
-    near = pairs.mapInPandas(_verify, schema)
+    tasks = int(spellings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = pairs.repartition(tasks, "kind", "spelling").mapInPandas(_verify, schema)
     best = near.groupBy("kind", "spelling").agg(F.min(F.struct("distance", "rank", "unit", "scale")).alias("b"))
     return best.select("kind", "spelling", "b.unit", "b.scale")
 
@@ -208,7 +210,15 @@ def to_local_magnitude(mags: DataFrame, models: DataFrame) -> DataFrame:
         return aliases.where(F.col("kind") == k).select(*named)
 
     read = texts.join(own("text"), "_text", "left").drop("_text")
-    rows = rows.join(read, F.col("mag") == F.col("_mag"), "left").join(own("note"), "_note", "left").join(own("type"), "_type", "left")
+    # rows without a number meet no text, and must not meet in one task
+    numeric = F.coalesce(F.col("mag").rlike("[0-9０-９]"), F.lit(False))
+    blank = [F.lit(None).cast(kind).alias(c) for c, kind in read.dtypes]
+    rows = rows.where(numeric).join(read, F.col("mag") == F.col("_mag"), "left").unionByName(rows.where(~numeric).select("*", *blank))
+    # few remarks and types hold most rows: each alias is sent to SALTS places, a row to one
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("mag", "mag_author"), F.lit(SALTS)).cast("int"))
+    for k in ("note", "type"):
+        spread = own(k).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.join(spread, [f"_{k}", "_salt"], "left")
     value = F.col("_value")
     stated = F.when(F.col("_text_unit") != "plain", F.col("_text_unit")).when(
         F.col("_text_scale").isNull(), F.col("_note_unit")
