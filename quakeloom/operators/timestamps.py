@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeloom.session import new_stage_path, table
+from quakeloom.session import new_stage_path, staged, table
 
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z$"
 
@@ -192,7 +192,8 @@ def to_instants(rows: DataFrame, sources: DataFrame, path: str | None = None) ->
     after received_ts, the earlier if received_ts is null; one that never occurs is read with
     the offset before the change. Null, empty and unusable texts and impossible dates give
     null. Rows stay as they are, repeated ones too; a column utc_us of theirs is replaced. path: where the dictionary is kept
-    between runs; without it a new table in the shared folder.
+    between runs; without it a new table in the shared folder. The rows of one delivery must be written before
+    the next one is added to the dictionary, if one query is to have both.
     """
     spark = rows.sparkSession
     path = path or new_stage_path(spark, "instants")
@@ -211,10 +212,24 @@ def to_instants(rows: DataFrame, sources: DataFrame, path: str | None = None) ->
     received = F.unix_micros("received_ts")
     utc = F.when(F.col("second_us") <= received, F.col("second_us")).otherwise(F.col("first_us"))
     old = [F.col(f"_row.`{c}`").alias(c) for c in rows.columns if c != "utc_us"]
-    return keyed.join(known, on, "left").select(*old, utc.alias("utc_us"))
+    # texts without a digit are in no dictionary, and must not meet in one task
+    some = F.coalesce(F.col("event_dt").rlike("[0-9]"), F.lit(False))
+    read = keyed.where(some).join(known, on, "left").select(*old, utc.alias("utc_us"))
+    return read.unionByName(keyed.where(~some).select(*old, F.lit(None).cast("bigint").alias("utc_us")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "event_raw").select("raw_id", "source", "event_dt", "received_ts")
     done = to_instants(rows, table(spark, sf_dir, "source_info"))
     return done.where(F.col("utc_us").isNotNull() & ~F.col("event_dt").rlike(CANONICAL)).select("raw_id", "utc_us").distinct()
+
+
+def p2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over two deliveries, the second one parsing only texts that the first did not bring: all usable rows of both."""
+    rows = table(spark, sf_dir, "event_raw").select("raw_id", "source", "event_dt", "received_ts")
+    sources = table(spark, sf_dir, "source_info")
+    path = new_stage_path(spark, "instants")
+    second = F.coalesce(F.col("raw_id") % 2 == 1, F.lit(True))
+    early = staged(to_instants(rows.where(~second), sources, path), "early")
+    late = to_instants(rows.where(second), sources, path)
+    return early.unionByName(late).where(F.col("utc_us").isNotNull()).select("raw_id", "utc_us").distinct()

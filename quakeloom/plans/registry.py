@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quakeloom.operators.regions import p4_found
-from quakeloom.operators.timestamps import p2_found
+from quakeloom.operators.timestamps import p2_found, p2_incremental
 from quakeloom.operators.units import p1_found
 from quakeloom.plans import catalog, picks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_incremental": p2_incremental, "p4_found": p4_found}
 QUERIES |= catalog.QUERIES | picks.QUERIES
 
 SQL: dict[str, str] = {
