@@ -17,6 +17,7 @@ a pair is its confidence.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -175,7 +176,8 @@ def grounded(pairs: DataFrame, rules: Rules) -> DataFrame:
     scored = pairs.join(source_offsets(pairs), ["source_a", "source_b"], "left").withColumn("odds", odds)
     best = scored.where(F.col("odds") > rules.least).groupBy("a", "b").agg(F.max("odds").alias("odds"), F.first("source_a").alias("source_a"), F.first("source_b").alias("source_b"))
     twin = F.col("source_a") == F.col("source_b")
-    return best.select(F.xxhash64("a", "b").alias("pair"), "a", "b", "source_a", "source_b", twin.alias("twin"), (0.5 + rules.sharpness * F.col("odds")).alias("target"))
+    number = F.monotonically_increasing_id().alias("pair")  # of the row, once the table is written
+    return best.select(number, "a", "b", "source_a", "source_b", twin.alias("twin"), (0.5 + rules.sharpness * F.col("odds")).alias("target"))
 
 
 def _clipped(c: Column) -> Column:
@@ -183,7 +185,7 @@ def _clipped(c: Column) -> Column:
 
 
 def broken_rules(values: DataFrame, rules: Rules) -> DataFrame:
-    """(rule, pair, a sign for it, weight): what the values break over each row that two true pairs share.
+    """(hub, e1, e2, weight, terms): what the values break over each row (hub) that two true pairs share; terms are pairs with a sign.
 
     values: pair, a, b, source_a, source_b, target, value. Ends in one source that are no twins by
     their own target exclude each other; all others are transitive: the third pair must not be too false.
@@ -207,9 +209,8 @@ def broken_rules(values: DataFrame, rules: Rules) -> DataFrame:
         ),
         lambda t: t["pair"].isNotNull(),
     )
-    rule = F.xxhash64("hub", "e1", "e2")
     weight = F.when(F.col("apart"), rules.exclusivity).otherwise(rules.transitivity).alias("weight")
-    return met.select(rule.alias("rule"), weight, F.explode(terms).alias("t")).select("rule", "t.pair", "t.sign", "weight")
+    return met.select("hub", "e1", "e2", weight, terms.alias("terms"))
 
 
 def _solve_spread(copies: DataFrame, rules: Rules) -> DataFrame:
@@ -310,15 +311,20 @@ def link(events: DataFrame, rules: Rules | None = None) -> DataFrame:
     parts = linked_groups(ground.select(F.col("a").alias("id1"), F.col("b").alias("id2")))
     ground = staged(ground.join(parts.select(F.col("id").alias("a"), F.col("group_id").alias("part")), "a"), "parted")
     values = ground.withColumn("value", _clipped(F.col("target")))
-    copies = None
-    while True:
-        fresh = broken_rules(values, rules).join(values.select("pair", "target", "part", "value"), "pair")
-        fresh = fresh.select("rule", "pair", "sign", "weight", "target", "part", F.col("value").alias("x"), F.lit(0.0).alias("u"))
-        if copies is not None:
-            fresh = fresh.join(copies.select("rule").distinct(), "rule", "left_anti")
-        fresh = cut(fresh)
-        if not fresh.take(1):
+    copies: DataFrame | None = None
+    known: DataFrame | None = None
+    for turn in itertools.count():
+        broken = broken_rules(values, rules)
+        if known is not None:
+            broken = broken.join(known, ["hub", "e1", "e2"], "left_anti")
+        # numbered apart from the rules of earlier turns, so that a rule is one number
+        broken = staged(broken.withColumn("rule", F.monotonically_increasing_id() + (turn << 54)), "broken")
+        if not broken.take(1):
             break
+        known = broken.select("hub", "e1", "e2") if known is None else known.unionByName(broken.select("hub", "e1", "e2"))
+        terms = broken.select("rule", "weight", F.explode("terms").alias("t")).select("rule", "weight", "t.pair", "t.sign")
+        fresh = terms.join(values.select("pair", "target", "part", "value"), "pair")
+        fresh = fresh.select("rule", "pair", "sign", "weight", "target", "part", F.col("value").alias("x"), F.lit(0.0).alias("u"))
         copies = solve(fresh if copies is None else copies.unionByName(fresh), rules)
         mean = _clipped((2 * F.first("target") + rules.rho * F.sum(F.col("x") + F.col("u"))) / (2 + rules.rho * F.count("*")))
         settled = copies.groupBy("pair").agg(mean.alias("settled"))
@@ -329,8 +335,33 @@ def link(events: DataFrame, rules: Rules | None = None) -> DataFrame:
     return exclusive(values, rules).select("a", "b", F.greatest("value", F.lit(rules.accept)).alias("confidence"))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_uid_a, event_uid_b, confidence): the matching pairs, each with its confidence."""
     events = table(spark, sf_dir, "catalog_event").select(
         F.col("event_uid").alias("id"), "source", F.unix_micros("event_dt").alias("us"), "lat", "lon"
     )
-    return link(events).select(F.col("a").alias("event_uid_a"), F.col("b").alias("event_uid_b"))
+    return link(events).select(F.col("a").alias("event_uid_a"), F.col("b").alias("event_uid_b"), "confidence")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_links(spark, sf_dir).drop("confidence")
+
+
+def p3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(events, one_source, turned, repeated, unsure): what the pairs must keep to; all but the first are 0.
+
+    one_source counts pairs within a source, turned those with a >= b, repeated pairs that come
+    twice, unsure those whose confidence is not between a half and one.
+    """
+    events = table(spark, sf_dir, "catalog_event").select("event_uid", "source").distinct()
+    links = staged(p3_links(spark, sf_dir), "links")
+    side = lambda n: events.select(F.col("event_uid").alias(f"event_uid_{n}"), F.col("source").alias(f"source_{n}"))
+    told = links.join(side("a"), "event_uid_a").join(side("b"), "event_uid_b")
+    count = lambda c: F.count(F.when(c, 1))
+    kept = told.agg(
+        count(F.col("source_a") == F.col("source_b")).alias("one_source"),
+        count(F.col("event_uid_a") >= F.col("event_uid_b")).alias("turned"),
+        (F.count("*") - F.count_distinct("event_uid_a", "event_uid_b")).alias("repeated"),
+        count(~F.coalesce(F.col("confidence").between(0.5, 1.0), F.lit(False))).alias("unsure"),
+    )
+    return events.agg(F.count_distinct("event_uid").alias("events")).join(kept)  # one row each

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quakeloom.llm.components import p6_found
 from quakeloom.llm.confusables import p10_classes, p10_forms, p10_found, p10_rules
-from quakeloom.llm.linkage import p3_found
+from quakeloom.llm.linkage import p3_found, p3_links, p3_rules
 from quakeloom.llm.mixing import p9_mix, p9_shares
 from quakeloom.llm.nearest_time import p5_found
 from quakeloom.llm.packing import p8_pack, p8_rounds, p8_rules
@@ -16,6 +16,8 @@ from quakeloom.llm.survivor import p7_found, p7_layers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
+    "p3_links": p3_links,
+    "p3_rules": p3_rules,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
@@ -98,3 +100,7 @@ SELECT pack_name, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NO
 SQL["p10_rules"] = """
 SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS without_form, CAST(0 AS BIGINT) AS unstable FROM documents WHERE text IS NOT NULL
 """
+SQL["p3_rules"] = """
+SELECT count(DISTINCT event_uid) AS events, CAST(0 AS BIGINT) AS one_source, CAST(0 AS BIGINT) AS turned, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS unsure
+FROM catalog_event
+"""
