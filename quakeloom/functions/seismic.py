@@ -53,7 +53,7 @@ def rounded_origin_us(us: Column) -> Column:
 def with_ellipsoid_errors(df: DataFrame) -> DataFrame:
     """df (az1, dip1, len1, az2, dip2, len2, len3) with erh and erv, the errors of the error ellipsoid given by two axes and the third's length.
 
-    The third axis is at right angles to the other two; a degenerate pair of axes gives null.
+    The third axis is at right angles to the other two; rows with a degenerate pair of axes are left out.
     The components are columns of their own, so that each is computed once.
     """
     kept = df.columns
@@ -66,8 +66,8 @@ def with_ellipsoid_errors(df: DataFrame) -> DataFrame:
         "_3y": c("_1z") * c("_2x") - c("_1x") * c("_2z"),
         "_3z": c("_1x") * c("_2y") - c("_1y") * c("_2x"),
     })
-    df = df.withColumn("_size", F.sqrt(c("_3x") * c("_3x") + c("_3y") * c("_3y") + c("_3z") * c("_3z")))
-    df = df.withColumns({f"_3{a}": F.when(c("_size") > 1e-12, c(f"_3{a}") / c("_size")) for a in "xyz"})
+    df = df.withColumn("_size", F.sqrt(c("_3x") * c("_3x") + c("_3y") * c("_3y") + c("_3z") * c("_3z"))).where("_size > 1e-12")
+    df = df.withColumns({f"_3{a}": c(f"_3{a}") / c("_size") for a in "xyz"})
 
     def cov(a: str, b: str) -> Column:
         one, two, three = (c(f"len{n}") * c(f"len{n}") * c(f"_{n}{a}") * c(f"_{n}{b}") for n in "123")

@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from quakeloom.session import staged
 
 
-def band_join(left: DataFrame, right: DataFrame, left_us: str, right_us: str, low_us: int, high_us: int, on: Column | None = None) -> DataFrame:
+def band_join(
+    left: DataFrame, right: DataFrame, left_us: str, right_us: str, low_us: int, high_us: int, keys: tuple[Column, Column] | None = None
+) -> DataFrame:
     """All pairs with low_us <= right_us - left_us <= high_us, as an equi-join on time buckets.
 
     A range predicate alone would be a nested loop. Buckets are as wide as the band; a left
     row is sent to the buckets its band touches (two or three), a right row to its own, so that
-    each pair meets once. Rows with a null time meet nothing. Column names must differ.
+    each pair meets once. Rows with a null time meet nothing. Column names must differ. keys: further keys that pairs
+    must share, an array of each left row's and the one of each right row (cells of a map, a source).
     """
     width = max(high_us - low_us, 1)
     first, last = F.floor((F.col(left_us) + low_us) / width), F.floor((F.col(left_us) + high_us) / width)
     one = left.where(F.col(left_us).isNotNull()).withColumn("_bucket", F.explode(F.sequence(first, last)))
     two = right.where(F.col(right_us).isNotNull()).withColumn("_bucket", F.floor(F.col(right_us) / width))
+    on = ["_bucket"]
+    if keys is not None:
+        one, two, on = one.withColumn("_key", F.explode(keys[0])), two.withColumn("_key", keys[1]), ["_bucket", "_key"]
     gap = F.col(right_us) - F.col(left_us)
-    met = one.join(two, "_bucket").where(gap.between(low_us, high_us)).drop("_bucket")
-    return met if on is None else met.where(on)
+    return one.join(two, on).where(gap.between(low_us, high_us)).drop(*on)
 
 
 def running_sums(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quakeloom.functions.geo import chord_km, haversine_km
 from quakeloom.operators.bands import band_join
+from quakeloom.operators.regions import KM_PER_DEGREE, own_cell, touched_cells
 from quakeloom.session import cut, staged
 
 
@@ -43,10 +44,13 @@ def candidates(one: DataFrame, two: DataFrame, t: Thresholds | None = None) -> D
         return df.select(F.col("id").alias("id" + n), F.col("us").alias("us" + n), F.col("lat").alias("lat" + n), F.col("lon").alias("lon" + n), *extra)
 
     loose_us = round(t.loose_s * 1e6)
-    near = band_join(side(one, "1"), side(two, "2"), "us1", "us2", -loose_us + 1, loose_us - 1)
+    degrees = t.loose_km / KM_PER_DEGREE * 1.0001
+    placed = lambda df, n: df.where(F.abs("lat" + n).between(0, 90) & (F.abs("lon" + n) < float("inf")))
+    cells = touched_cells(F.col("lat1"), F.col("lon1"), degrees), own_cell(F.col("lat2"), F.col("lon2"), degrees)
+    near = band_join(placed(side(one, "1"), "1"), placed(side(two, "2"), "2"), "us1", "us2", -loose_us + 1, loose_us - 1, cells)
     km = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     near = near.withColumn("km", km).where(F.col("km") <= t.loose_km)
-    ml = lambda n: F.coalesce((F.col("mag_type" + n) == "ML") & F.col("mag_author" + n).isin("LDG", "OMP"), F.lit(False))
+    ml = lambda n: F.coalesce((F.upper("mag_type" + n) == "ML") & F.col("mag_author" + n).isin("LDG", "OMP"), F.lit(False))
     dt = F.abs(F.col("us1") - F.col("us2")) / 1e6
     diff = F.abs(F.col("mag1") - F.col("mag2"))
     is_ml = ml("1") & ml("2")
@@ -106,8 +110,8 @@ def double_pairs(events: DataFrame, t: Thresholds | None = None) -> DataFrame:
     t = t or Thresholds()
     side = lambda n: events.select(*[F.col(c).alias(c + n) for c in ("id", "source", "us", "lat", "lon", "dep")])
     us = round(t.double_s * 1e6)
-    near = band_join(side("1"), side("2"), "us1", "us2", 0, us)
-    same = (F.col("source1") == F.col("source2")) & ((F.col("us1") < F.col("us2")) | (F.col("id1") < F.col("id2"))) & (F.col("id1") != F.col("id2"))
+    near = band_join(side("1"), side("2"), "us1", "us2", 0, us, (F.array("source1"), F.col("source2")))
+    same = ((F.col("us1") < F.col("us2")) | (F.col("id1") < F.col("id2"))) & (F.col("id1") != F.col("id2"))
     dep = lambda n: F.coalesce("dep" + n, F.lit(0.0))
     km = chord_km(F.col("lat1"), F.col("lon1"), dep("1"), F.col("lat2"), F.col("lon2"), dep("2"))
     return near.where(same).select("id1", "id2", ((F.col("us2") - F.col("us1")) / 1e6).alias("dt_s"), km.alias("km")).where(F.col("km") <= t.double_km)
@@ -139,11 +143,14 @@ def double_groups(pairs: DataFrame, t: Thresholds | None = None) -> DataFrame:
 
 
 def time_unique(one: DataFrame, two: DataFrame, tolerance_us: int) -> DataFrame:
-    """(id1, id2) of rows that are each other's only row within the tolerance."""
-    near = band_join(one.select(F.col("id").alias("id1"), F.col("us").alias("us1")), two.select(F.col("id").alias("id2"), F.col("us").alias("us2")), "us1", "us2", -tolerance_us, tolerance_us)
-    lone1 = near.groupBy("id1").agg(F.count("*").alias("n"), F.min("id2").alias("id2")).where("n = 1").select("id1", "id2")
-    lone2 = near.groupBy("id2").agg(F.count("*").alias("n")).where("n = 1").select("id2")
-    return lone1.join(lone2, "id2", "left_semi").select("id1", "id2")
+    """(id1, id2): rows of the first catalog in the order of seq, each with the only row of the second within the tolerance that is still free.
+
+    one: id, us, seq. two: id, us. A row with no free one, or with several, takes none.
+    """
+    left, right = one.select(F.col("id").alias("id1"), "seq", F.col("us").alias("us1")), two.select(F.col("id").alias("id2"), F.col("us").alias("us2"))
+    near = band_join(left, right, "us1", "us2", -tolerance_us, tolerance_us)
+    gap = F.abs(F.col("us1") - F.col("us2")) / 1e6
+    return first_come(near.select("id1", "seq", "id2", F.lit(0.0).alias("km"), gap.alias("dt_s")), only_choice=True)
 
 
 def fused(catalogs: list[DataFrame], picks: DataFrame | None = None, t: Thresholds | None = None) -> DataFrame:

@@ -37,6 +37,34 @@ def _cell(lon: Column, cells: Column) -> Column:
     return F.least(F.floor(turned * cells / 360.0).cast("int"), cells - 1)
 
 
+def _lon_reach(strip: Column, degrees: float) -> Column:
+    """Degrees of longitude that a circle of that radius spans at most from a latitude strip of twice its height; 180 near a pole."""
+    far = F.least(F.greatest(F.abs(strip * (2 * degrees)), F.abs((strip + 1) * (2 * degrees))), F.lit(90.0))
+    share = math.sin(math.radians(degrees)) / F.cos(F.radians(far))
+    return F.when((F.cos(F.radians(far)) > 1e-9) & (share < 1), F.degrees(F.asin(F.least(share, F.lit(1.0)))) * 1.0001).otherwise(180.0)
+
+
+def own_cell(lat: Column, lon: Column, degrees: float) -> Column:
+    """The cell (y, x) that a point lies in: latitude strips and longitude cells, each at least twice the radius wide."""
+    y = F.floor(lat / (2 * degrees))
+    n = F.greatest(F.floor(180.0 / _lon_reach(y, degrees)), F.lit(1))
+    x = F.pmod(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) * n / 360.0), n)
+    return F.struct(y.alias("y"), x.alias("x"))
+
+
+def touched_cells(lat: Column, lon: Column, degrees: float) -> Column:
+    """The cells (see own_cell) that a circle around a point touches, across the 180th meridian and the poles: one to four as a rule."""
+
+    def cells(y: Column) -> Column:
+        reach = _lon_reach(y, degrees)
+        n = F.greatest(F.floor(180.0 / reach), F.lit(1))
+        turned = F.pmod(lon + 180.0, F.lit(360.0))
+        around = F.sequence(F.floor((turned - reach) * n / 360.0), F.floor((turned + reach) * n / 360.0))
+        return F.array_distinct(F.transform(around, lambda c: F.struct(y.alias("y"), F.pmod(c, n).alias("x"))))
+
+    return F.flatten(F.transform(F.sequence(F.floor((lat - degrees) / (2 * degrees)), F.floor((lat + degrees) / (2 * degrees))), cells))
+
+
 def near_points(points: DataFrame, point_id: str, places: DataFrame, place_id: str, km: float) -> DataFrame:
     """(point_id, place_id) of all places at most km from a point (great circle, 6371 km).
 

@@ -10,7 +10,8 @@ from quakeloom.functions.seismic import fixed
 from quakeloom.operators import matching, statistics
 from quakeloom.operators.bands import numbered
 from quakeloom.operators.regions import box_edges, containing_regions
-from quakeloom.session import table
+from quakeloom.plans import picks
+from quakeloom.session import staged, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,6 +33,15 @@ def _events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     )
 
 
+def _events_with_mags(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Events with one magnitude each: an ML of LDG or OMP before others, then the first given."""
+    m = picks.mags(spark, sf_dir)
+    local = (F.col("mag_type") == "ml") & F.col("mag_author").isin("LDG", "OMP")
+    order = F.struct(F.when(local, 0).otherwise(1), "mag_id", "mag", F.upper("mag_type").alias("mag_type"), "mag_author")
+    best = m.groupBy(F.col("event_uid").alias("id")).agg(F.min(order).alias("b")).select("id", "b.mag", "b.mag_type", "b.mag_author")
+    return _events(spark, sf_dir, *columns).join(best, "id", "left")
+
+
 def _placed(df: DataFrame) -> DataFrame:
     return df.where(F.col("us").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
@@ -42,50 +52,79 @@ _HAV = (
     " + cos(radians({a}.lat)) * cos(radians({b}.lat)) * sin(radians({b}.lon - {a}.lon) / 2e0) * sin(radians({b}.lon - {a}.lon) / 2e0))))"
 )
 _E = "SELECT event_uid AS id, source, epoch_us(event_dt) AS us, lat, lon, dep FROM catalog_event"
-_PAIRS = f"""
-WITH e AS ({_E}), p AS (
-  SELECT a.id AS id1, b.id AS id2, abs(a.us - b.us) / 1e6 AS dt_s, {_HAV.format(a="a", b="b")} AS km
-  FROM e a JOIN e b ON a.source = 'LDG' AND b.source = 'RESIF' AND abs(a.us - b.us) < 30000000)
+_EM = f"""{picks.MAGS_SQL}, em AS (SELECT event_uid AS id, mag, upper(mag_type) AS mag_type, mag_author FROM m
+  QUALIFY row_number() OVER (PARTITION BY event_uid ORDER BY CASE WHEN mag_type = 'ml' AND mag_author IN ('LDG', 'OMP') THEN 0 ELSE 1 END, mag_id, mag) = 1),
+e AS (SELECT * FROM ({_E}) LEFT JOIN em USING (id))"""
+_IS_ML = "coalesce(a.mag_type = 'ML' AND a.mag_author IN ('LDG', 'OMP') AND b.mag_type = 'ML' AND b.mag_author IN ('LDG', 'OMP'), FALSE)"
+
+
+def _candidates_sql(one: str, two: str) -> str:
+    """Pairs of two tables (id, us, lat, lon, mag, mag_type, mag_author) with cost, is_ml and strict."""
+    return f"""SELECT *, 9.5e-1 * (dt_s / 3e1) + 5e-2 * (km / 5e1) AS cost, dt_s <= 2e0 AND km <= 1.5e1 AND (NOT is_ml OR coalesce(mag_diff <= 1.5e0, FALSE)) AS strict
+  FROM (SELECT a.id AS id1, b.id AS id2, abs(a.us - b.us) / 1e6 AS dt_s, {_HAV.format(a="a", b="b")} AS km, abs(a.mag - b.mag) AS mag_diff, {_IS_ML} AS is_ml
+    FROM {one} a JOIN {two} b ON abs(a.us - b.us) < 30000000) WHERE km <= 5e1"""
+
+
+def _greedy_sql(pairs: str, n: str) -> str:
+    """taken{n}: the pairs taken one by one, strict ones first, then by cost and ids, with both ends free."""
+    return f"""n{n} AS (SELECT *, row_number() OVER (ORDER BY strict DESC, cost, id1, id2) AS k FROM {pairs}),
+g{n} AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS u1, CAST([] AS BIGINT[]) AS u2, FALSE AS ok UNION ALL
+  SELECT k, CASE WHEN ok THEN list_append(u1, id1) ELSE u1 END, CASE WHEN ok THEN list_append(u2, id2) ELSE u2 END, ok
+  FROM (SELECT n.k, n.id1, n.id2, g.u1, g.u2, NOT list_contains(g.u1, n.id1) AND NOT list_contains(g.u2, n.id2) AS ok FROM g{n} g JOIN n{n} n ON n.k = g.k + 1)),
+taken{n} AS (SELECT n.* FROM n{n} n JOIN g{n} g USING (k) WHERE g.ok)"""
+
+
+def _in_turn_sql(pairs: str, only: bool) -> str:
+    """taken: rows of pairs (id1, seq, id2, km, dt_s) in the order of seq, each with its best, or its only, id2 that is free."""
+    pick = "CASE WHEN len(free) = 1 THEN free[1] END" if only else "free[1]"
+    return f"""q AS (SELECT id1, list(id2 ORDER BY km, dt_s, id2) AS c, row_number() OVER (ORDER BY min(seq)) AS k FROM {pairs} GROUP BY id1),
+g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS id1, CAST(NULL AS BIGINT) AS id2 UNION ALL
+  SELECT k, CASE WHEN t IS NULL THEN used ELSE list_append(used, t) END, id1, t
+  FROM (SELECT k, used, id1, {pick} AS t FROM (SELECT q.k, g.used, q.id1, list_filter(q.c, lambda x: NOT list_contains(g.used, x)) AS free FROM g JOIN q ON q.k = g.k + 1))),
+taken AS (SELECT id1, id2 FROM g WHERE id2 IS NOT NULL)"""
+
+
+_PAIRS = f"""WITH RECURSIVE {_EM}, one AS (SELECT * FROM e WHERE source = 'LDG'), two AS (SELECT * FROM e WHERE source <> 'LDG'), p AS ({_candidates_sql("one", "two")})
 """
+_NEAR = _PAIRS.rstrip() + """, near AS (SELECT p.*, seq FROM p JOIN catalog_event ON event_uid = id1 WHERE dt_s <= 2 AND km <= 15), """
 
 
-def _two_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = _events(spark, sf_dir)
-    return e.where("source = 'LDG'"), e.where("source = 'RESIF'")
+def _two_catalogs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The most used source, and all others as one catalog."""
+    e = staged(_events_with_mags(spark, sf_dir), "events")
+    return e.where("source = 'LDG'"), e.where("source <> 'LDG'")
 
 
-@query(_PAIRS + f"""SELECT id1, id2, dt_s, {_FIX.format("km")} AS km,
-  {_FIX.format("9.5e-1 * (dt_s / 3e1) + 5e-2 * (km / 5e1)")} AS cost,
-  (dt_s <= 2e0 AND km <= 1.5e1) AS strict FROM p WHERE km <= 5e1""")
+@query(_PAIRS + f"""SELECT id1, id2, dt_s, {_FIX.format("km")} AS km, {_FIX.format("cost")} AS cost, is_ml, strict FROM p""")
 def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of two sources within 30 s and 50 km, with cost and whether the strict thresholds hold."""
-    one, two = _two_sources(spark, sf_dir)
-    return matching.candidates(one, two).select("id1", "id2", "dt_s", fixed(F.col("km")).alias("km"), fixed(F.col("cost")).alias("cost"), "strict")
+    """Pairs of two catalogs within 30 s and 50 km, with cost and whether the strict thresholds hold, that of magnitude included."""
+    one, two = _two_catalogs(spark, sf_dir)
+    return matching.candidates(one, two).select("id1", "id2", "dt_s", fixed(F.col("km")).alias("km"), fixed(F.col("cost")).alias("cost"), "is_ml", "strict")
 
 
-@query()
+@query(_PAIRS.rstrip() + ", " + _greedy_sql("p", "") + f" SELECT id1, id2, CASE WHEN strict THEN 'strict' ELSE 'loose' END AS phase, {_FIX.format('cost')} AS cost FROM taken")
 def match_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one matches of two sources, cheapest first, strict before loose."""
-    one, two = _two_sources(spark, sf_dir)
+    """One-to-one matches of two catalogs, cheapest first, strict before loose."""
+    one, two = _two_catalogs(spark, sf_dir)
     return matching.two_phase(matching.candidates(one, two)).select("id1", "id2", "phase", fixed(F.col("cost")).alias("cost"))
 
 
 def _in_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, two = _two_sources(spark, sf_dir)
+    one, two = _two_catalogs(spark, sf_dir)
     close = matching.candidates(one, two).where("dt_s <= 2 AND km <= 15").select("id1", "id2", "km", "dt_s")
     order = table(spark, sf_dir, "catalog_event").select(F.col("event_uid").alias("id1"), "seq")
     return close.join(order, "id1")
 
 
-@query()
+@query(_NEAR + _in_turn_sql("near", False) + " SELECT id1, id2 FROM taken")
 def mag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of one source, in file order, with the nearest free event of another within 2 s and 15 km."""
+    """Events of one source, in file order, with the nearest free event of the others within 2 s and 15 km."""
     return matching.first_come(_in_file_order(spark, sf_dir))
 
 
-@query()
+@query(_NEAR + _in_turn_sql("near", True) + " SELECT id1, id2 FROM taken")
 def sequential_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of one source, in file order, with another's only free event within 2 s and 15 km."""
+    """Events of one source, in file order, with the others' only free event within 2 s and 15 km."""
     return matching.first_come(_in_file_order(spark, sf_dir), only_choice=True)
 
 
@@ -143,17 +182,48 @@ def double_merged_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_phases(groups, picks)
 
 
-@query()
+_FIRST = "list_filter({0}, lambda x: x IS NOT NULL)[1]"
+
+
+def _fold_sql(sources: int) -> str:
+    """The fold over so many sources in the order of trust, one step a source; main{k} has the catalogs up to number k."""
+    parts = [f"""WITH RECURSIVE {_EM}, {picks.PICKS_SQL},
+ranked AS (SELECT source, row_number() OVER (ORDER BY min(trust_rank) NULLS LAST, source NULLS LAST) AS turn FROM e LEFT JOIN source_info USING (source) WHERE us IS NOT NULL GROUP BY source),
+ev AS (SELECT e.*, turn FROM e JOIN ranked ON e.source IS NOT DISTINCT FROM ranked.source WHERE us IS NOT NULL),
+main1 AS (SELECT id, us, [lat] AS lats, [lon] AS lons, [dep] AS deps, [mag] AS mags, mag_type, mag_author, [id] AS members FROM ev WHERE turn = 1)"""]
+    for k in range(2, sources + 1):
+        old = f"main{k - 1}"
+        slots = ", ".join(f"list_append(m.{c}s, o.{c}) AS {c}s" for c in ("lat", "lon", "dep"))
+        pad = ", ".join(f"list_append(list_resize(CAST([] AS DOUBLE[]), {k - 1}), o.{c}) AS {c}s" for c in ("lat", "lon", "dep", "mag"))
+        parts.append(f"""other{k} AS (SELECT * FROM ev WHERE turn = {k}),
+seen{k} AS (SELECT id, us, {_FIRST.format("lats")} AS lat, {_FIRST.format("lons")} AS lon, mags[1] AS mag, mag_type, mag_author FROM {old}),
+p{k} AS ({_candidates_sql(f"seen{k}", f"other{k}")}), {_greedy_sql(f"p{k}", str(k))},
+loose{k} AS (SELECT id1, id2, unnest(members) AS member FROM taken{k} JOIN {old} ON id = id1 WHERE NOT strict),
+r{k} AS (SELECT id1, id2, member, 1 AS side, pick_seq, code, phase, us FROM loose{k} JOIN tp ON event_uid = member WHERE us IS NOT NULL AND phase NOT LIKE 'S%'
+  UNION ALL SELECT id1, id2, member, 2, pick_seq, code, phase, us FROM loose{k} JOIN tp ON event_uid = id2 WHERE us IS NOT NULL AND phase NOT LIKE 'S%'),
+f{k} AS (SELECT *, first_value(us) OVER (PARTITION BY member, id2, code, phase ORDER BY side, pick_seq, us) AS first_us FROM r{k}),
+proven{k} AS (SELECT DISTINCT id1, id2 FROM (SELECT id1, id2 FROM f{k} WHERE abs(us - first_us) <= 1000000 GROUP BY id1, id2, member, code, phase HAVING count(*) > 1)),
+sure{k} AS (SELECT id1, id2, is_ml FROM taken{k} t WHERE strict OR EXISTS (SELECT 1 FROM proven{k} v WHERE v.id1 = t.id1 AND v.id2 = t.id2)),
+main{k} AS (SELECT m.id, m.us, {slots}, list_append(m.mags, CASE WHEN s.is_ml THEN o.mag END) AS mags, m.mag_type, m.mag_author,
+    CASE WHEN o.id IS NULL THEN m.members ELSE list_append(m.members, o.id) END AS members FROM {old} m LEFT JOIN sure{k} s ON s.id1 = m.id LEFT JOIN other{k} o ON o.id = s.id2
+  UNION ALL SELECT o.id, o.us, {pad}, o.mag_type, o.mag_author, [o.id] FROM other{k} o WHERE o.id NOT IN (SELECT id2 FROM sure{k}))""")
+    mean = "list_avg(list_filter(mags, lambda x: x IS NOT NULL))"
+    return ",\n".join(parts) + f""" SELECT id, us, {_FIRST.format("lats")} AS lat, {_FIRST.format("lons")} AS lon, {_FIRST.format("deps")} AS dep, {_FIX.format(mean)} AS mag,
+  array_to_string(members, ',') AS members FROM main{sources}"""
+
+
+@query(_fold_sql(5))
 def fuse_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sources fused in order of trust, loose matches proven by shared readings."""
-    from quakeloom.plans.picks import timed_picks
-
-    e = _events(spark, sf_dir, "dep").where("us IS NOT NULL")
+    """All sources fused in order of trust, loose matches proven by shared readings; the magnitude is the mean of the known slots."""
+    e = staged(_events_with_mags(spark, sf_dir, "dep").where("us IS NOT NULL"), "events")
     ranks = table(spark, sf_dir, "source_info").groupBy("source").agg(F.min("trust_rank").alias("rank"))
     order = e.select("source").distinct().join(ranks, "source", "left").orderBy(F.col("rank").asc_nulls_last(), F.col("source").asc_nulls_last()).collect()
-    done = matching.fused([e.where(F.col("source").eqNullSafe(F.lit(r.source))) for r in order], timed_picks(spark, sf_dir))
+    done = matching.fused([e.where(F.col("source").eqNullSafe(F.lit(r.source))) for r in order], staged(picks.timed_picks(spark, sf_dir), "picks"))
     first = lambda c: F.try_element_at(F.filter(c, lambda v: v.isNotNull()), F.lit(1))
-    return done.select("id", "us", first("lats").alias("lat"), first("lons").alias("lon"), first("deps").alias("dep"), F.array_join("members", ",").alias("members"))
+    return done.select(
+        "id", "us", first("lats").alias("lat"), first("lons").alias("lon"), first("deps").alias("dep"), fixed(seismic.mean_of(F.col("mags"))).alias("mag"),
+        F.array_join("members", ",").alias("members"),
+    )
 
 
 @query(f"""WITH e AS ({_E}) SELECT z.zone_id, e.id FROM e JOIN reloc_zone z
@@ -334,13 +404,13 @@ def grid_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.join(counts, "zone_id").select("zone_id", fixed(lat).alias("lat_sw"), fixed(lon).alias("lon_sw"), points(x).alias("nx"), points(y).alias("ny"), "events")
 
 
-@query("""WITH e AS (SELECT event_uid AS id, source, epoch_us(event_dt) AS us FROM catalog_event),
-n AS (SELECT a.id AS id1, b.id AS id2 FROM e a JOIN e b ON a.source = 'LDG' AND b.source = 'IGN' AND abs(a.us - b.us) <= 2000000)
-SELECT id1, id2 FROM (SELECT *, count(*) OVER (PARTITION BY id1) AS n1, count(*) OVER (PARTITION BY id2) AS n2 FROM n) WHERE n1 = 1 AND n2 = 1""")
+@query("""WITH RECURSIVE e AS (SELECT event_uid AS id, source, seq, epoch_us(event_dt) AS us FROM catalog_event),
+near AS (SELECT a.id AS id1, a.seq, b.id AS id2, 0 AS km, abs(a.us - b.us) AS dt_s FROM e a JOIN e b ON a.source = 'LDG' AND b.source <> 'LDG' AND abs(a.us - b.us) <= 2000000), """
+       + _in_turn_sql("near", True) + " SELECT id1, id2 FROM taken")
 def time_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of two sources that are each other's only one within 2 s."""
-    e = _events(spark, sf_dir)
-    return matching.time_unique(e.where("source = 'LDG'"), e.where("source = 'IGN'"), 2_000_000)
+    """Events of one source in file order, each with the only event of the others within 2 s that is still free."""
+    e = _events(spark, sf_dir, "seq")
+    return matching.time_unique(e.where("source = 'LDG'"), e.where("source <> 'LDG'"), 2_000_000)
 
 
 def _header(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,8 +506,7 @@ c AS (SELECT public_id, len1 * len1 * u0 * u0 + len2 * len2 * v0 * v0 + len3 * l
 @query(_ELL + f"SELECT public_id, {_FIX.format('sqrt((a + c) / 2 + sqrt((a - c) / 2 * ((a - c) / 2) + b * b))')} AS erh, {_FIX.format('sqrt(z)')} AS erv FROM c")
 def ellipsoid_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Horizontal and vertical errors of the best solutions from their error ellipsoids."""
-    done = seismic.with_ellipsoid_errors(_best(spark, sf_dir)).select("public_id", fixed(F.col("erh")).alias("erh"), fixed(F.col("erv")).alias("erv"))
-    return done.where(F.col("erh").isNotNull())
+    return seismic.with_ellipsoid_errors(_best(spark, sf_dir)).select("public_id", fixed(F.col("erh")).alias("erh"), fixed(F.col("erv")).alias("erv"))
 
 
 @query(_NLL + """SELECT 'joined' AS kind, count(*) AS n FROM orders JOIN best ON o_orderkey = public_id AND o_orderstatus = 'F'
@@ -465,7 +534,7 @@ def spearman_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM p JOIN e a ON a.id = id1 JOIN e b ON b.id = id2 WHERE km <= 1.5e1 AND dt_s <= 2e0""")
 def match_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences in position of strict candidate pairs, in km north and east."""
-    one, two = _two_sources(spark, sf_dir)
+    one, two = _two_catalogs(spark, sf_dir)
     pairs = matching.candidates(one, two).where("km <= 15 AND dt_s <= 2").select("id1", "id2")
     place = lambda df, n: df.select(F.col("id").alias("id" + n), F.col("lat").alias("lat" + n), F.col("lon").alias("lon" + n))
     both = pairs.join(place(one, "1"), "id1").join(place(two, "2"), "id2")

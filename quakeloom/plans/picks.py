@@ -9,7 +9,8 @@ from quakeloom.functions import seismic
 from quakeloom.functions.geo import haversine_km
 from quakeloom.functions.seismic import fixed
 from quakeloom.operators import bands, inventory, picklists, statistics
-from quakeloom.session import table
+from quakeloom.operators.units import to_local_magnitude
+from quakeloom.session import staged, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,10 +34,11 @@ def timed_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(origin, "event_uid", "left").select("pick_id", "event_uid", "pick_seq", "code", "phase", "channel", us.alias("us"))
 
 
-_P = """p AS (SELECT DISTINCT pick_id, event_uid, pick_seq, code, phase, channel, epoch_us(arrival_ts) AS at, tt_s FROM phase_pick),
+PICKS_SQL = """p AS (SELECT DISTINCT pick_id, event_uid, pick_seq, code, phase, channel, epoch_us(arrival_ts) AS at, tt_s FROM phase_pick),
 tp AS (SELECT p.pick_id, p.event_uid, p.pick_seq, p.code, p.phase, p.channel,
   coalesce(p.at, epoch_us(e.event_dt) + CAST(floor(p.tt_s * 1e6 + 5e-1) AS BIGINT)) AS us
   FROM p LEFT JOIN catalog_event e USING (event_uid))"""
+_P = PICKS_SQL
 _FIX = "floor(({}) * 1e6 + 5e-1) / 1e6"
 _HAV = (
     "2e0 * 6371e0 * asin(sqrt(least(1e0, sin(radians({2} - {0}) / 2e0) * sin(radians({2} - {0}) / 2e0)"
@@ -332,14 +334,44 @@ def obs_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # magnitudes
 
-_M = """m AS (SELECT DISTINCT mag_id, event_uid, TRY_CAST(mag AS DOUBLE) AS mag, trim(mag_type) AS mag_type, upper(trim(mag_author)) AS mag_author FROM org_mag
-  WHERE TRY_CAST(mag AS DOUBLE) BETWEEN -5 AND 9.8e0 AND remark IS NULL)"""
-
-
-def _mags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "org_mag").where("remark IS NULL")
-    m = m.select("mag_id", "event_uid", F.col("mag").try_cast("double").alias("mag"), F.trim("mag_type").alias("mag_type"), F.upper(F.trim("mag_author")).alias("mag_author"))
-    return m.where("mag BETWEEN -5 AND 9.8").distinct()
+_NUM = r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　 "
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "  "
+# Magnitudes in common units, written as rules on the spelling instead of a dictionary of spellings.
+UNITS_SQL = rf"""u0 AS (SELECT DISTINCT mag_id, event_uid, mag AS given, lower(trim(coalesce(mag_type, ''))) AS kind, upper(trim(mag_author)) AS mag_author, trim(coalesce(remark, '')) AS note,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(mag, '{_WIDE.replace("'", "''")}', '{_NARROW.replace("'", "''")}'),
+    '^\s+|\s+$', '', 'g'), '([0-9]),([0-9])', '\1.\2', 'g'), '\s*(±|\+/-)\s*[0-9.]+', '', 'g'), '[Mm]0([^.0-9]|$)', 'Mo\1', 'g'), 'log10', 'log', 'gi'),
+    '\s*[x×*·]\s*10\^([+-]?[0-9]+)', 'e\1', 'g') AS s FROM org_mag),
+u1 AS (SELECT *, TRY_CAST(regexp_extract(s, '{_NUM}') AS DOUBLE) AS v, regexp_replace(s, '{_NUM}', ' ') AS beside FROM u0),
+u2 AS (SELECT *, regexp_replace(lower(beside), '[^a-z]', '', 'g') AS l FROM u1 WHERE v IS NOT NULL),
+u3 AS (SELECT *, CASE WHEN regexp_matches(beside, '^\s*x\s*0\.01\s*$|^\s*/\s*100\s*$') OR l = 'cm' THEN 'hundredth' WHEN regexp_matches(beside, '^\s*x\s*0\.1\s*$|^\s*/\s*10\s*$') OR l = 'dm' THEN 'tenth'
+    WHEN l IN ('nm', 'monm') THEN 'newton_metre' WHEN l IN ('dyncm', 'dynecm', 'modyncm', 'modynecm') THEN 'dyne_centimetre'
+    WHEN l IN ('lgmonm', 'logmonm') THEN 'lg_newton_metre' WHEN l IN ('lgmodyncm', 'lgmodynecm', 'logmodyncm', 'logmodynecm') THEN 'lg_dyne_centimetre'
+    WHEN l IN ('', 'm', 'ml', 'mlv', 'md', 'mw', 'mblg', 'mb') AND NOT regexp_matches(beside, '[0-9/]') THEN 'plain' END AS tu,
+  CASE WHEN l IN ('ml', 'mlv', 'md', 'mw', 'mblg', 'mb') THEN l END AS ts,
+  CASE WHEN kind IN ('ml', 'mlv', 'md', 'mw', 'mblg', 'mb') THEN kind WHEN kind IN ('m0', 'mo') THEN 'mw' END AS ks,
+  CASE WHEN note IN ('in hundredths', 'centièmes', 'centésimas de magnitud', 'x100', 'mag*100') THEN 'hundredth'
+    WHEN note IN ('tenths', 'dixièmes de magnitude', 'en décimas', 'x10', 'mag*10') THEN 'tenth'
+    WHEN regexp_matches(note, '^(M0 in |moment \(|moment sismique en )?N[ .·]?m\)?$') THEN 'newton_metre'
+    WHEN regexp_matches(note, '^(M0 in |moment \(|moment sismique en )?dyne?[ .-]cm\)?$') THEN 'dyne_centimetre' END AS nu FROM u2),
+u4 AS (SELECT *, coalesce(CASE WHEN tu <> 'plain' THEN tu WHEN ts IS NULL THEN nu END, CASE WHEN v BETWEEN 10 AND 1000 THEN 'hundredth' WHEN v > 1e6 THEN 'newton_metre' END, 'plain') AS unit FROM u3
+  WHERE tu IS NOT NULL AND v NOT IN (-999, 9.9e0) AND v >= -5),
+u5 AS (SELECT *, CASE unit WHEN 'hundredth' THEN v / 100 WHEN 'tenth' THEN v / 10 WHEN 'newton_metre' THEN 2e0 / 3e0 * (log10(v) - 9.1e0) WHEN 'dyne_centimetre' THEN 2e0 / 3e0 * (log10(v) - 7 - 9.1e0)
+    WHEN 'lg_newton_metre' THEN 2e0 / 3e0 * (v - 9.1e0) WHEN 'lg_dyne_centimetre' THEN 2e0 / 3e0 * (v - 7 - 9.1e0) ELSE CASE WHEN v <= 10 THEN v END END AS magnitude,
+  CASE WHEN unit LIKE '%metre' THEN 'mw' ELSE coalesce(ts, ks) END AS scale FROM u4),
+um AS (SELECT u5.*, CASE WHEN slope IS NULL THEN magnitude ELSE slope * magnitude + intercept END AS ml FROM u5 LEFT JOIN mag_model d
+  ON lower(trim(d.mag_type)) = scale AND upper(trim(d.mag_author)) = u5.mag_author AND d.seg = CASE WHEN magnitude >= 2 THEN '>=2' ELSE '<2' END WHERE magnitude IS NOT NULL)"""
+MAGS_SQL = UNITS_SQL + ", m AS (SELECT mag_id, event_uid, floor(magnitude * 1e6 + 5e-1) / 1e6 AS mag, scale AS mag_type, mag_author FROM um)"
+_M = MAGS_SQL
+
+
+def mags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mag_id, event_uid, mag, mag_type, mag_author): every usable magnitude in common units, on the scale that it is given on."""
+    columns = ["mag_id", "event_uid", "mag", "mag_type", "mag_author", "remark"]
+    done = to_local_magnitude(table(spark, sf_dir, "org_mag").select(*columns).distinct(), table(spark, sf_dir, "mag_model"))
+    return done.where(F.col("magnitude").isNotNull()).select(
+        "mag_id", "event_uid", fixed(F.col("magnitude")).alias("mag"), F.col("scale").alias("mag_type"), F.upper(F.trim("mag_author")).alias("mag_author")
+    )
 
 
 @query("SELECT mag_type, mag_author, count(*) AS n FROM org_mag GROUP BY 1, 2")
@@ -348,36 +380,37 @@ def mag_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "org_mag").groupBy("mag_type", "mag_author").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_M}, l AS (SELECT mag_id, mag, d.slope, d.intercept FROM m LEFT JOIN mag_model d ON d.mag_type = m.mag_type AND d.mag_author = m.mag_author AND d.seg = CASE WHEN m.mag >= 2 THEN '>=2' ELSE '<2' END)"
+@query(f"WITH {_M}, l AS (SELECT mag_id, mag, d.slope, d.intercept FROM m LEFT JOIN mag_model d ON lower(trim(d.mag_type)) = m.mag_type AND upper(trim(d.mag_author)) = m.mag_author AND d.seg = CASE WHEN m.mag >= 2 THEN '>=2' ELSE '<2' END)"
        + f" SELECT mag_id, {_FIX.format('CASE WHEN slope IS NULL THEN mag ELSE slope * mag + intercept END')} AS ml FROM l")
 def apply_mag_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain magnitudes converted by the model of their type and author; without a model unchanged."""
-    m = _mags(spark, sf_dir).withColumn("seg", F.when(F.col("mag") >= 2, ">=2").otherwise("<2"))
+    """Magnitudes converted by the model of their type and author; without a model unchanged."""
+    m = mags(spark, sf_dir).withColumn("seg", F.when(F.col("mag") >= 2, ">=2").otherwise("<2"))
     ml = F.when(F.col("slope").isNull(), F.col("mag")).otherwise(F.col("slope") * F.col("mag") + F.col("intercept"))
-    return m.join(table(spark, sf_dir, "mag_model"), ["mag_type", "mag_author", "seg"], "left").select("mag_id", fixed(ml).alias("ml"))
+    model = table(spark, sf_dir, "mag_model").withColumns({"mag_type": F.lower(F.trim("mag_type")), "mag_author": F.upper(F.trim("mag_author"))})
+    return m.join(model, ["mag_type", "mag_author", "seg"], "left").select("mag_id", fixed(ml).alias("ml"))
 
 
-@query(f"WITH {_M} SELECT mag_id, {_FIX.format('CASE WHEN mag < 3.117e0 THEN 6.642e-1 * mag + 4.467e-1 WHEN mag <= 4 THEN mag - 6e-1 ELSE 1.4285e0 * mag - 2.0891e0 END')} AS mw FROM m WHERE mag_type = 'ML'")
+@query(f"WITH {_M} SELECT mag_id, {_FIX.format('CASE WHEN mag < 3.117e0 THEN 6.642e-1 * mag + 4.467e-1 WHEN mag <= 4 THEN mag - 6e-1 ELSE 1.4285e0 * mag - 2.0891e0 END')} AS mw FROM m WHERE mag_type = 'ml'")
 def ml_to_mw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moment magnitudes from local ones."""
-    return _mags(spark, sf_dir).where("mag_type = 'ML'").select("mag_id", fixed(seismic.ml_to_mw(F.col("mag"))).alias("mw"))
+    return mags(spark, sf_dir).where("mag_type = 'ml'").select("mag_id", fixed(seismic.ml_to_mw(F.col("mag"))).alias("mw"))
 
 
-@query(f"WITH {_M}, c AS (SELECT mag, count(*) AS n FROM m WHERE mag_type = 'ML' GROUP BY mag) SELECT mag, n, CAST(sum(n) OVER (ORDER BY mag DESC) AS BIGINT) AS n_at_least FROM c")
+@query(f"WITH {_M}, c AS (SELECT mag, count(*) AS n FROM m WHERE mag_type = 'ml' GROUP BY mag) SELECT mag, n, CAST(sum(n) OVER (ORDER BY mag DESC) AS BIGINT) AS n_at_least FROM c")
 def gutenberg_richter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Magnitude-frequency counts."""
-    return statistics.cumulative_counts(_mags(spark, sf_dir).where("mag_type = 'ML'"))
+    return statistics.cumulative_counts(mags(spark, sf_dir).where("mag_type = 'ml'"))
 
 
 def _mag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _mags(spark, sf_dir).where(F.col("mag_type").isNotNull())
-    y = m.where("mag_type = 'ML' AND mag_author = 'LDG'").groupBy("event_uid").agg(F.min("mag").alias("y"))
-    x = m.where("NOT (mag_type = 'ML' AND mag_author = 'LDG')").select("event_uid", "mag_type", "mag_author", F.col("mag").alias("x"))
+    m = staged(mags(spark, sf_dir).where(F.col("mag_type").isNotNull()), "magnitudes")
+    y = m.where("mag_type = 'ml' AND mag_author = 'LDG'").groupBy("event_uid").agg(F.min("mag").alias("y"))
+    x = m.where("NOT (mag_type = 'ml' AND mag_author = 'LDG')").select("event_uid", "mag_type", "mag_author", F.col("mag").alias("x"))
     return x.join(y, "event_uid")
 
 
-_FIT = f"""WITH {_M}, y AS (SELECT event_uid, min(mag) AS y FROM m WHERE mag_type = 'ML' AND mag_author = 'LDG' GROUP BY 1),
-xy AS (SELECT m.mag_type, m.mag_author, m.mag AS x, y.y FROM m JOIN y USING (event_uid) WHERE NOT (m.mag_type = 'ML' AND m.mag_author = 'LDG')),
+_FIT = f"""WITH {_M}, y AS (SELECT event_uid, min(mag) AS y FROM m WHERE mag_type = 'ml' AND mag_author = 'LDG' GROUP BY 1),
+xy AS (SELECT m.mag_type, m.mag_author, m.mag AS x, y.y FROM m JOIN y USING (event_uid) WHERE m.mag_type IS NOT NULL AND NOT (m.mag_type = 'ml' AND m.mag_author = 'LDG')),
 u AS (SELECT mag_type, mag_author, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy FROM xy WHERE x >= 2 GROUP BY 1, 2),
 l AS (SELECT *, (syy - sxx + sqrt((syy - sxx) * (syy - sxx) + 4 * sxy * sxy)) / (2 * sxy) AS slope FROM u WHERE abs(sxy) > 1e-9 AND n >= 10),
 f AS (SELECT *, my - slope * mx AS intercept FROM l),

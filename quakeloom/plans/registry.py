@@ -29,4 +29,7 @@ FROM catalog_event e JOIN reloc_zone z
 """,
 }
 
+SQL["p1_found"] = "WITH " + picks.UNITS_SQL + """
+SELECT DISTINCT mag_id, CAST(round(ml * 100) AS INTEGER) AS ml_centi FROM um WHERE TRY_CAST(given AS DOUBLE) IS NULL OR abs(TRY_CAST(given AS DOUBLE) - magnitude) > 1e-9
+"""
 SQL |= catalog.SQL | picks.SQL

@@ -106,9 +106,10 @@ def test_loose_matches_need_a_shared_reading(spark):
 
 
 def test_time_unique(spark):
-    one = spark.createDataFrame([(1, 0), (2, 100), (3, 1000)], "id bigint, us bigint")
-    two = spark.createDataFrame([(11, 5), (12, 101), (13, 103), (14, 1010)], "id bigint, us bigint")
-    assert [tuple(r) for r in matching.time_unique(one, two, 10).orderBy("id1").collect()] == [(1, 11), (3, 14)]
+    one = spark.createDataFrame([(1, 0, 5), (2, 100, 6), (3, 1000, 7), (4, 1003, 8), (5, 98, 9)], "id bigint, us bigint, seq bigint")
+    two = spark.createDataFrame([(11, 5), (12, 101), (13, 109), (14, 1010), (15, 1020)], "id bigint, us bigint")
+    # 2 has two; 3 takes 14, so that 4 has none; 5 has 12 alone, since 13 is too far
+    assert [tuple(r) for r in matching.time_unique(one, two, 10).orderBy("id1").collect()] == [(1, 11), (3, 14), (5, 12)]
 
 
 def test_first_come_is_the_file_order(spark):
