@@ -49,3 +49,9 @@ def site_clusters(sites: DataFrame, km: float, same_code: bool) -> DataFrame:
         pairs = pairs.where(F.col("code_a") == F.col("code_b"))
     groups = linked_groups(pairs.select(F.col("site_a").alias("id1"), F.col("site_b").alias("id2")))
     return groups.select(F.col("id").alias("site_id"), F.col("group_id").alias("cluster"))
+
+
+def delays_by_station(delays: DataFrame, codes: DataFrame) -> DataFrame:
+    """Each delay (sta, ...) with every alt_code of its station in a code map (alt_code, code), null and flagged missing if it has none."""
+    blocks = codes.select("alt_code", F.col("code").alias("sta")).distinct()
+    return delays.join(blocks, "sta", "left").withColumn("missing", F.col("alt_code").isNull())

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quakeloom.operators.regions import p4_found
 from quakeloom.operators.timestamps import p2_found, p2_incremental
 from quakeloom.operators.units import p1_found
-from quakeloom.plans import catalog, picks
+from quakeloom.plans import catalog, formats, picks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_incremental": p2_incremental, "p4_found": p4_found}
-QUERIES |= catalog.QUERIES | picks.QUERIES
+QUERIES |= catalog.QUERIES | picks.QUERIES | formats.QUERIES
 
 SQL: dict[str, str] = {
     "p4_found": """
@@ -32,4 +32,4 @@ FROM catalog_event e JOIN reloc_zone z
 SQL["p1_found"] = "WITH " + picks.UNITS_SQL + """
 SELECT DISTINCT mag_id, CAST(round(ml * 100) AS INTEGER) AS ml_centi FROM um WHERE TRY_CAST(given AS DOUBLE) IS NULL OR abs(TRY_CAST(given AS DOUBLE) - magnitude) > 1e-9
 """
-SQL |= catalog.SQL | picks.SQL
+SQL |= catalog.SQL | picks.SQL | formats.SQL
