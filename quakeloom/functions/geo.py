@@ -109,6 +109,18 @@ def lambert93(lat: Column, lon: Column) -> tuple[Column, Column]:
     return _FALSE_EAST + r * F.sin(angle), _FALSE_NORTH + r0 - r * F.cos(angle)
 
 
+def from_lambert93(x: Column, y: Column) -> tuple[Column, Column]:
+    """(lat, lon) of a point in the conic projection: the latitude by fixed-point steps, each a hundred times nearer or more."""
+    n, c, r0 = lambert_constants()
+    e = math.sqrt(_E2)
+    east, north = x - _FALSE_EAST, F.lit(_FALSE_NORTH + r0) - y
+    iso = -F.log(F.sqrt(east * east + north * north) / c) / n
+    s = F.tanh(iso)
+    for _ in range(7):
+        s = F.tanh(iso + F.lit(e / 2) * F.log((1 + e * s) / (1 - e * s)))
+    return F.degrees(F.asin(s)), F.degrees(F.atan2(east, north)) / n + _LON0
+
+
 def along_section(lat: Column, lon: Column, lat0: float, lon0: float, azimuth: float) -> tuple[Column, Column]:
     """(along, across) in km of a point seen from (lat0, lon0) in the direction of the azimuth, on the sphere."""
     d = haversine_km(F.lit(lat0), F.lit(lon0), lat, lon) / EARTH_KM

@@ -55,3 +55,16 @@ def delays_by_station(delays: DataFrame, codes: DataFrame) -> DataFrame:
     """Each delay (sta, ...) with every alt_code of its station in a code map (alt_code, code), null and flagged missing if it has none."""
     blocks = codes.select("alt_code", F.col("code").alias("sta")).distinct()
     return delays.join(blocks, "sta", "left").withColumn("missing", F.col("alt_code").isNull())
+
+
+def without_stations(sites: DataFrame, removal: DataFrame) -> DataFrame:
+    """sites without those of a removal table (network, station); a null in the table removes nothing."""
+    return sites.join(removal.select("network", "station").distinct(), ["network", "station"], "left_anti")
+
+
+def renamed_sites(sites: DataFrame, km: float) -> DataFrame:
+    """(site_id, code): the sites of a code that are not linked by steps of at most km get code_1, code_2, ... by their clusters' least site_id."""
+    clusters = site_clusters(sites, km, same_code=True)
+    own = sites.select("site_id", "code").distinct().join(clusters, "site_id", "left").withColumn("cluster", F.coalesce("cluster", "site_id"))
+    k = F.dense_rank().over(Window.partitionBy("code").orderBy("cluster")) - 1
+    return own.withColumn("k", k).select("site_id", F.when(F.col("k") == 0, F.col("code")).otherwise(F.concat_ws("_", "code", "k")).alias("code"))

@@ -74,13 +74,15 @@ def with_window(picks: DataFrame, events: DataFrame, window_us: int = 60_000_000
     return band_join(picks, events, "us", "origin", -window_us, 0)
 
 
-def matched_picks(picks: DataFrame, events: DataFrame, stations: DataFrame, table: DataFrame) -> DataFrame:
+def matched_picks(picks: DataFrame, events: DataFrame, stations: DataFrame, table: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(pick, status, event_uid) for every pick: matched, or the first reason against it.
 
-    picks: pick, us, code, letter, ord. events: event_uid, origin, lat, lon. stations: code,
+    picks: pick, us, code, letter, ord (the order of files and within them, so that files chained one
+    after the other are one pass). existing: event_uid, code, letter of the picks that events have already. events: event_uid, origin, lat, lon. stations: code,
     latitude, longitude. table: as travel_time_table. Statuses in order: no_event (none within
     a minute before), no_station, no_residual (no event whose travel time fits the band),
-    multi (several fit), duplicate (an earlier pick has the event, code and letter), matched.
+    multi (several fit), duplicate (an earlier or existing pick has the event, code and letter), matched.
+    The table has a row for each step up to its greatest distance, some hundred.
     """
     rows = F.sort_array(F.collect_list(F.struct("k", "tp_low", "tp_high", "ts_low", "ts_high")))
     whole = table.agg(rows.alias("_table"))  # one row of a few hundred structs
@@ -106,7 +108,12 @@ def matched_picks(picks: DataFrame, events: DataFrame, stations: DataFrame, tabl
         .when(F.col("n_fit") == 0, "no_residual")
         .when(F.col("n_fit") > 1, "multi"),
     )
+    held = F.lit(None).cast("boolean")
+    if existing is not None:
+        keys = ["event_uid", "code", "letter"]
+        told = told.join(existing.select(*keys).dropna().distinct().withColumn("_held", F.lit(True)), keys, "left")
+        held = F.col("_held")
     w = Window.partitionBy("event_uid", "code", "letter", F.col("reason").isNull()).orderBy("ord", "pick")
-    again = F.col("reason").isNull() & (F.row_number().over(w) > 1)
+    again = F.col("reason").isNull() & (F.coalesce(held, F.lit(False)) | (F.row_number().over(w) > 1))
     status = F.when(again, "duplicate").otherwise(F.coalesce("reason", F.lit("matched")))
     return told.select("pick", status.alias("status"), F.when(status == "matched", F.col("event_uid")).alias("event_uid"))

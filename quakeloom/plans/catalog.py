@@ -308,12 +308,57 @@ def depth_grid_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_GRID + f"""SELECT count(*) AS cells, {_FIX.format("avg(median)")} AS mean, {_FIX.format("max(median)")} AS most,
-  {_FIX.format("stddev_pop(median)")} AS std FROM g""")
+  {_FIX.format("stddev_pop(median)")} AS std, {_FIX.format("quantile_cont(median, 9.9e-1)")} AS q99, (SELECT {_FIX.format("median(dep)")} FROM e) AS overall FROM g""")
 def grid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, maximum and spread of the map's medians."""
-    m = F.col("median")
-    done = statistics.grid_windows(table(spark, sf_dir, "catalog_event"), "dep")
-    return done.agg(F.count("*").alias("cells"), fixed(F.avg(m)).alias("mean"), fixed(F.max(m)).alias("most"), fixed(F.stddev_pop(m)).alias("std"))
+    """Mean, maximum, spread and 99 % quantile of the map's medians, and the median of all its events."""
+    m, grid = F.col("median"), statistics.Grid()
+    e = table(spark, sf_dir, "catalog_event")
+    done = staged(statistics.grid_windows(e, "dep", grid), "medians")
+    one = done.agg(F.count("*").alias("cells"), fixed(F.avg(m)).alias("mean"), fixed(F.max(m)).alias("most"), fixed(F.stddev_pop(m)).alias("std"))
+    inside = e.where(F.col("lat").between(grid.lat0, grid.lat1) & F.col("lon").between(grid.lon0, grid.lon1))
+    at = lambda df, c, share, name: statistics.quantiles(df, c, [share]).select(fixed(F.get("q", F.lit(0))).alias(name))
+    return one.join(at(done, "median", 0.99, "q99")).join(at(inside, "dep", 0.5, "overall"))  # one row each
+
+
+@query("SELECT count(dep) AS n, median(dep) AS median FROM catalog_event")
+def depth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and median of all known depths."""
+    e = table(spark, sf_dir, "catalog_event")
+    return e.agg(F.count("dep").alias("n")).join(statistics.quantiles(e, "dep", [0.5]).select(F.get("q", F.lit(0)).alias("median")))  # one row each
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS n, {_FIX.format(f'avg({c})')} AS mean, {_FIX.format(f'median({c})')} AS median FROM catalog_event" for c in ("rms", "erh", "erv")))
+def solution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, mean and median of the residuals and errors of all events."""
+    e = table(spark, sf_dir, "catalog_event")
+    rows = []
+    for c in ("rms", "erh", "erv"):
+        known = e.select(F.when(~F.isnan(c), F.col(c)).alias("v"))
+        one = known.agg(F.lit(c).alias("field"), F.count("v").alias("n"), fixed(F.avg("v")).alias("mean"))
+        rows.append(one.join(statistics.quantiles(known, "v", [0.5]).select(fixed(F.get("q", F.lit(0))).alias("median"))))  # one row each
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(f"""SELECT CAST(year(event_dt) AS INTEGER) AS year, count(*) AS n, {_FIX.format("avg(az_gap)")} AS az_gap, {_FIX.format("avg(rms)")} AS rms
+FROM (SELECT event_dt AT TIME ZONE 'UTC' AS event_dt, az_gap, rms FROM catalog_event) WHERE year(event_dt) BETWEEN 2017 AND 2024 GROUP BY 1""")
+def year_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean gap and residual by year, of the years 2017 to 2024."""
+    e = table(spark, sf_dir, "catalog_event").withColumn("year", F.year("event_dt")).where("year BETWEEN 2017 AND 2024")
+    return e.groupBy("year").agg(F.count("*").alias("n"), fixed(F.avg("az_gap")).alias("az_gap"), fixed(F.avg("rms")).alias("rms"))
+
+
+@query(f"SELECT event_uid AS id, {_FIX.format('lat')} AS lat, {_FIX.format('lon')} AS lon FROM catalog_event WHERE lat BETWEEN 30 AND 60 AND lon IS NOT NULL")
+def lambert93_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions found again from their projection to the millimetre."""
+    lat, lon = geo.from_lambert93(F.col("x"), F.col("y"))
+    return lambert93(spark, sf_dir).select("id", fixed(lat).alias("lat"), fixed(lon).alias("lon"))
+
+
+@query("SELECT source, id, us FROM (SELECT source, event_uid AS id, epoch_us(event_dt) AS us FROM catalog_event) UNION SELECT 'raw ' || source, raw_id, epoch_us(received_ts) FROM event_raw")
+def union_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two catalogs as one, repeated rows once."""
+    raw = table(spark, sf_dir, "event_raw").select(F.concat_ws(" ", F.lit("raw"), "source").alias("source"), F.col("raw_id").alias("id"), F.unix_micros("received_ts").alias("us"))
+    return _events(spark, sf_dir).select("source", "id", "us").unionByName(raw).distinct()
 
 
 @query("""SELECT source, 1976 + 5 * ((year(event_dt) - 1976) // 5) AS first_year, count(*) AS n

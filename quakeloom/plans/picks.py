@@ -202,17 +202,36 @@ def tt_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picks = _temporary(spark, sf_dir).where(F.col("us").isNotNull())
-    return picklists.matched_picks(picks, _events(spark, sf_dir), table(spark, sf_dir, "station_site"), _table(spark, sf_dir))
+    files = table(spark, sf_dir, "temp_pick").select(F.col("temp_id").alias("pick"), F.struct("file_name", "temp_id").alias("ord")).distinct()
+    picks = _temporary(spark, sf_dir).where(F.col("us").isNotNull()).drop("ord").join(files, "pick")
+    letter = F.upper(F.substring("phase", 1, 1)).alias("letter")
+    existing = table(spark, sf_dir, "phase_pick").select("event_uid", "code", letter)
+    times = staged(_table(spark, sf_dir), "times")
+    return picklists.matched_picks(picks, _events(spark, sf_dir), table(spark, sf_dir, "station_site"), times, existing)
+
+
+_TT = "CASE letter WHEN 'P' THEN a.tp_{0} + (km / 5e-1 - i) * (b.tp_{0} - a.tp_{0}) ELSE a.ts_{0} + (km / 5e-1 - i) * (b.ts_{0} - a.ts_{0}) END"
+_MATCHED = _TABLE + f""", {_T.replace("t AS (", "tq AS (")},
+cand AS (SELECT tq.pick, tq.letter, e.event_uid, s.code IS NOT NULL AS placed, (tq.us - epoch_us(e.event_dt)) / 1e6 AS tt, {_HAV.format("e.lat", "e.lon", "s.latitude", "s.longitude")} AS km
+  FROM tq JOIN catalog_event e ON epoch_us(e.event_dt) BETWEEN tq.us - 60000000 AND tq.us LEFT JOIN s ON s.code = tq.code WHERE e.lat IS NOT NULL AND e.lon IS NOT NULL),
+fit AS (SELECT pick, event_uid, placed, coalesce(tt BETWEEN {_TT.format("low")} - slack AND {_TT.format("high")} + slack, FALSE) AS fits
+  FROM (SELECT *, floor(km / 5e-1)::INT AS i, CASE letter WHEN 'P' THEN 1e-1 + 2.5e0 ELSE 3e-1 + 2.5e0 END AS slack FROM cand) LEFT JOIN tab a ON a.k = i AND km <= 100 LEFT JOIN tab b ON b.k = least(i + 1, 200)),
+seen AS (SELECT pick, bool_or(placed) AS placed, count(*) FILTER (WHERE fits) AS n_fit, min(event_uid) FILTER (WHERE fits) AS event_uid FROM fit GROUP BY pick),
+told AS (SELECT tq.pick, tq.code, tq.letter, seen.event_uid, f.file_name,
+  CASE WHEN seen.pick IS NULL THEN 'no_event' WHEN NOT placed THEN 'no_station' WHEN n_fit = 0 THEN 'no_residual' WHEN n_fit > 1 THEN 'multi' END AS reason
+  FROM tq LEFT JOIN seen USING (pick) JOIN (SELECT DISTINCT temp_id AS pick, file_name FROM temp_pick) f ON f.pick = tq.pick WHERE tq.us IS NOT NULL),
+st AS (SELECT pick, event_uid, CASE WHEN reason IS NOT NULL THEN reason WHEN (event_uid, code, letter) IN (SELECT (event_uid, code, upper(substr(phase, 1, 1))) FROM phase_pick)
+    OR row_number() OVER (PARTITION BY event_uid, code, letter, reason IS NULL ORDER BY file_name, pick) > 1 THEN 'duplicate' ELSE 'matched' END AS status FROM told)
+"""
 
 
-@query()
+@query(_MATCHED + "SELECT pick, status, CASE WHEN status = 'matched' THEN event_uid END AS event_uid FROM st")
 def match_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Temporary picks attached to the only event whose travel time fits, or the reason against it."""
+    """Temporary picks, file by file, attached to the only event whose travel time fits, or the reason against it."""
     return _matched(spark, sf_dir)
 
 
-@query()
+@query(_MATCHED + "SELECT status, count(*) AS n FROM st GROUP BY status")
 def match_picks_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many temporary picks were matched, and why the others were not."""
     return _matched(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
@@ -446,3 +465,33 @@ def fallback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many temporary picks of each code fall into no epoch and take the last one."""
     code = _temporary(spark, sf_dir).select("pick", "code")
     return resolve_priority(spark, sf_dir).where("fallback").join(code, "pick").groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT code, string_agg(DISTINCT channel, ' ' ORDER BY channel) AS channels FROM phase_pick WHERE channel <> '?' GROUP BY code")
+def channel_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All channels that picks of a station were read on."""
+    p = table(spark, sf_dir, "phase_pick").where("channel <> '?'")
+    return p.groupBy("code").agg(F.array_join(F.sort_array(F.collect_set("channel")), " ").alias("channels"))
+
+
+@query("SELECT site_id, code FROM station_site WHERE code IN (SELECT code FROM phase_pick)")
+def removed_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory without the stations of a removal table, here those that no event was read at."""
+    sites = table(spark, sf_dir, "station_site")
+    removal = sites.join(table(spark, sf_dir, "phase_pick").select("code"), "code", "left_anti").select("network", "station").distinct()
+    return inventory.without_stations(sites, removal).select("site_id", "code")
+
+
+@query("WITH RECURSIVE " + _NEAR.format("AND a.code = b.code").partition("SELECT x AS site_id")[0] + """, c AS (SELECT s.code, s.site_id, coalesce(least(s.site_id, min(r.y)), s.site_id) AS cluster
+  FROM station_site s LEFT JOIN reach r ON r.x = s.site_id GROUP BY 1, 2),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY code ORDER BY cluster) - 1 AS k FROM c)
+SELECT site_id, CASE WHEN k = 0 THEN code ELSE code || '_' || k END AS code FROM k""")
+def renamed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of one code that lie apart get codes of their own: code, code_1, ... by their clusters' first site."""
+    return inventory.renamed_sites(table(spark, sf_dir, "station_site"), 0.05)
+
+
+@query(f"WITH {_M}, b AS (SELECT event_uid, max(mag) AS mag FROM m GROUP BY 1) SELECT event_uid, mag FROM b WHERE mag >= 1")
+def least_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose greatest magnitude is at least 1."""
+    return mags(spark, sf_dir).groupBy("event_uid").agg(F.max("mag").alias("mag")).where("mag >= 1")
