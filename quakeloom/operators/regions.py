@@ -19,6 +19,7 @@ from quakeloom.session import table
 
 KM_PER_DEGREE = math.pi * EARTH_KM / 180.0
 STRIP_DEGREES = 0.25  # height of the latitude strips of polygon edges
+SALTS = 16  # places of a strip
 
 
 def _strip(lat: Column, height: float) -> Column:
@@ -126,12 +127,13 @@ def containing_regions(points: DataFrame, point_id: str, edges: DataFrame, regio
         high.alias("_high"),
         F.greatest("lon1", "lon2").alias("_east"),
         F.explode(F.sequence(_strip(low, STRIP_DEGREES), _strip(high, STRIP_DEGREES))).alias("_strip"),
-    )
+    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     p = points.select(F.col(point_id).alias("_p"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).distinct()
     p = p.where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
-    p = p.withColumn("_strip", _strip(F.col("_lat"), STRIP_DEGREES))
+    # most points lie in a few strips: each strip's sides are sent to SALTS places, a point to one
+    p = p.withColumn("_strip", _strip(F.col("_lat"), STRIP_DEGREES)).withColumn("_salt", F.pmod(F.xxhash64("_p", "_lat", "_lon"), F.lit(SALTS)).cast("int"))
     # sides west of the point can be neither crossed nor touched
-    both = p.join(e, "_strip").where(F.col("_lat").between(F.col("_low"), F.col("_high")) & (F.col("_lon") <= F.col("_east")))
+    both = p.join(e, ["_strip", "_salt"]).where(F.col("_lat").between(F.col("_low"), F.col("_high")) & (F.col("_lon") <= F.col("_east")))
     turn = (F.col("lon2") - F.col("lon1")) * (F.col("_lat") - F.col("lat1")) - (F.col("_lon") - F.col("lon1")) * (
         F.col("lat2") - F.col("lat1")
     )

@@ -45,3 +45,26 @@ def test_empty(spark):
     points = spark.createDataFrame([], "id bigint, lat double, lon double")
     boxes = spark.createDataFrame([], "zone string, lat_min double, lon_min double, lat_max double, lon_max double")
     assert regions.containing_regions(points, "id", regions.box_edges(boxes, "zone"), "zone").count() == 0
+
+
+def test_cells_hold_all_near_pairs(spark):
+    """Every pair within the reach shares exactly one cell, across the 180th meridian and at the poles too."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quakeloom.functions.geo import haversine_km
+    from quakeloom.operators.regions import KM_PER_DEGREE, own_cell, touched_cells
+
+    rng = random.Random(5)
+    at = [(rng.choice([0, 42, 60, 89, -89.9, 90]) + rng.uniform(-1, 1), rng.choice([0, 179.9, -180, 3]) + rng.uniform(-1, 1)) for _ in range(150)]
+    at = [(max(-90.0, min(90.0, y)), (x + 180) % 360 - 180) for y, x in at]
+    rows = spark.createDataFrame([(i, y, x) for i, (y, x) in enumerate(at)], "id int, lat double, lon double")
+    degrees = 50 / KM_PER_DEGREE * 1.0001
+    one = rows.select(F.col("id").alias("a"), F.col("lat").alias("y1"), F.col("lon").alias("x1"), F.explode(touched_cells(F.col("lat"), F.col("lon"), degrees)).alias("c"))
+    two = rows.select(F.col("id").alias("b"), F.col("lat").alias("y2"), F.col("lon").alias("x2"), own_cell(F.col("lat"), F.col("lon"), degrees).alias("c"))
+    km = haversine_km(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))
+    got = [(r.a, r.b) for r in one.join(two, "c").where(km <= 50).collect()]
+    cross = rows.select(F.col("id").alias("a"), F.col("lat").alias("y1"), F.col("lon").alias("x1")).join(rows.select(F.col("id").alias("b"), F.col("lat").alias("y2"), F.col("lon").alias("x2")))
+    want = [(r.a, r.b) for r in cross.where(km <= 50).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 150
