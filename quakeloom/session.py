@@ -35,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the setting is absent and the session is local is a folder of this
     machine taken instead; a cluster without the setting is an error, since a
-    machine-local folder would not be seen by the other executors.
+    machine-local folder would not be seen by the other executors. Whether a folder that
+    is set is shared cannot be told from its name (a mounted file system is a file: path
+    too): what the cluster names is taken as it is.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:

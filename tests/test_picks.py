@@ -47,3 +47,32 @@ def test_inventory(spark):
     assert {r.code: r.alt_code for r in inventory.numbered_codes(sites).collect()} == {"A.X": "A.0000", "A.Y": "A.0001", "B.X": "B.0000"}
     assert {r.site_id: r.cluster for r in inventory.site_clusters(sites, 0.02, False).collect()} == {"S1": "S1", "S2": "S1", "S3": "S1"}
     assert {r.site_id: r.cluster for r in inventory.site_clusters(sites, 0.02, True).collect()} == {"S1": "S1", "S2": "S1"}
+
+
+def test_existing_picks_make_duplicates(spark):
+    from quakeloom.operators import picklists
+
+    picks = spark.createDataFrame([(1, 10_000_000, "A.B", "P", 2), (2, 10_000_000, "A.B", "P", 1), (3, 10_000_000, "A.C", "P", 3)], "pick bigint, us bigint, code string, letter string, ord int")
+    events = spark.createDataFrame([(7, 9_000_000, 42.0, 1.0)], "event_uid bigint, origin bigint, lat double, lon double")
+    sites = spark.createDataFrame([("S1", "A.B", 42.0, 1.05), ("S2", "A.C", 42.0, 1.05)], "site_id string, code string, latitude double, longitude double")
+    times = spark.createDataFrame([(k, k * 0.5, 0.0, 2.0, 0.0, 3.0) for k in range(30)], "k int, distance double, tp_low double, tp_high double, ts_low double, ts_high double")
+    got = {r.pick: r.status for r in picklists.matched_picks(picks, events, sites, times).collect()}
+    assert got == {1: "duplicate", 2: "matched", 3: "matched"}
+    held = spark.createDataFrame([(7, "A.C", "P"), (7, "A.C", "P"), (None, "A.B", "P")], "event_uid bigint, code string, letter string")
+    got = {r.pick: r.status for r in picklists.matched_picks(picks, events, sites, times, held).collect()}
+    assert got == {1: "duplicate", 2: "matched", 3: "duplicate"}
+
+
+def test_stations_removed_renamed_and_delays_joined(spark):
+    from quakeloom.operators import inventory
+
+    rows = [("S1", "N", "A", "N.A", 42.0, 1.0), ("S2", "N", "A", "N.A", 42.0002, 1.0), ("S3", "N", "A", "N.A", 43.0, 1.0), ("S4", "N", "B", "N.B", 43.0, 1.0)]
+    sites = spark.createDataFrame(rows, "site_id string, network string, station string, code string, latitude double, longitude double")
+    got = {r.site_id: r.code for r in inventory.renamed_sites(sites, 0.05).collect()}
+    assert got == {"S1": "N.A", "S2": "N.A", "S3": "N.A_1", "S4": "N.B"}
+    removal = spark.createDataFrame([("N", "A"), ("N", "A"), (None, "B")], "network string, station string")
+    assert [r.site_id for r in inventory.without_stations(sites, removal).collect()] == ["S4"]
+    delays = spark.createDataFrame([("N.A", "P", 0.5), ("N.Z", "P", 0.4)], "sta string, phase string, correction double")
+    codes = spark.createDataFrame([("N.0000", "N.A"), ("N.0001", "N.A"), ("N.0000", "N.A")], "alt_code string, code string")
+    got = sorted((r.sta, r.alt_code or "", r.missing) for r in inventory.delays_by_station(delays, codes).collect())
+    assert got == [("N.A", "N.0000", False), ("N.A", "N.0001", False), ("N.Z", "", True)]
