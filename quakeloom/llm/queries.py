@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quakeloom.llm.components import p6_found
 from quakeloom.llm.confusables import p10_classes, p10_forms, p10_found, p10_rules
 from quakeloom.llm.linkage import p3_found, p3_links, p3_rules
-from quakeloom.llm.mixing import p9_mix, p9_shares
+from quakeloom.llm.mixing import p9_mix, p9_rules, p9_shares
 from quakeloom.llm.nearest_time import p5_found
 from quakeloom.llm.packing import p8_pack, p8_rounds, p8_rules
 from quakeloom.llm.survivor import p7_found, p7_layers
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_rounds": p8_rounds,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_rules": p9_rules,
     "p10_found": p10_found,
     "p10_classes": p10_classes,
     "p10_forms": p10_forms,
@@ -104,3 +105,6 @@ SQL["p3_rules"] = """
 SELECT count(DISTINCT event_uid) AS events, CAST(0 AS BIGINT) AS one_source, CAST(0 AS BIGINT) AS turned, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS unsure
 FROM catalog_event
 """
+SQL["p9_rules"] = """
+SELECT count(*) AS targets, CAST(0 AS BIGINT) AS strangers, CAST(0 AS BIGINT) AS over_used, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS off_target FROM mix_target
+"""

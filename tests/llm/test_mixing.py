@@ -50,3 +50,13 @@ def test_edges(spark):
     assert _mix(spark, [(1, "a", 5)], [])[0] == []
     rows, shares = _mix(spark, [(1, "a", 5), (2, "a", 0), (3, "b", 0)], [("a", 0.5, 3), ("b", 0.5, 3)])
     assert {r.doc_id: r.copies for r in rows} == {1: 3, 2: 3} and shares["b"].mix_tokens == 0
+
+
+def test_seeds_give_other_mixes_of_the_same_shares(spark):
+    sizes = spark.createDataFrame([(i, "ab"[i % 2], i % 13 + 1) for i in range(300)], SIZES)
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 1)], TARGETS)
+    mixes = [mixing.mix(sizes, targets, seed).cache() for seed in (0, 1, 2)]
+    ids = [frozenset(r.doc_id for r in m.collect()) for m in mixes]
+    assert len(set(ids)) == 3
+    for m in mixes:
+        assert {r.source: r.actual_share for r in mixing.shares(m, targets).collect()} == pytest.approx({"a": 0.9, "b": 0.1}, abs=0.02)
