@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quakeloom.operators.regions import p4_found
 from quakeloom.operators.timestamps import p2_found, p2_incremental
 from quakeloom.operators.units import p1_found
-from quakeloom.plans import catalog, formats, picks
+from quakeloom.plans import catalog, formats, picks, timesql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,4 +32,5 @@ FROM catalog_event e JOIN reloc_zone z
 SQL["p1_found"] = "WITH " + picks.UNITS_SQL + """
 SELECT DISTINCT mag_id, CAST(round(ml * 100) AS INTEGER) AS ml_centi FROM um WHERE TRY_CAST(given AS DOUBLE) IS NULL OR abs(TRY_CAST(given AS DOUBLE) - magnitude) > 1e-9
 """
+SQL |= {"p2_found": timesql.P2_FOUND, "p2_incremental": timesql.P2}
 SQL |= catalog.SQL | picks.SQL | formats.SQL

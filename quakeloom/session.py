@@ -53,9 +53,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_STAGES: set[str] = set()
+
+
 def new_stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's own folder in the shared one; that folder is deleted when the driver ends."""
+    parent = f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}"
+    if parent not in _STAGES:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(parent)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _STAGES.add(parent)
+    return f"{parent}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
