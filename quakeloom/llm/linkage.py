@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakeloom.functions.geo import haversine_km
-from quakeloom.operators.matching import linked_groups
+from quakeloom.llm.components import connected_groups
 from quakeloom.operators.regions import KM_PER_DEGREE
 from quakeloom.session import cut, staged, table
 
@@ -257,7 +257,7 @@ def _solve_block(frame: pd.DataFrame, rules: Rules) -> pd.DataFrame:
 
 def solve(copies: DataFrame, rules: Rules) -> DataFrame:
     """(rule, pair, sign, weight, target, part, x, u) with x and u of the solution: alternating directions until the residuals are small."""
-    sizes = cut(copies.groupBy("part").agg(F.count("*").alias("n")))
+    sizes = copies.groupBy("part").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum(F.when(F.col("n") <= BLOCK_ROWS, F.col("n"))).alias("small"), F.max("n").alias("most")).first()
     blocks = max(int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * (total["small"] or 0) // max(BLOCK_ROWS, 1)))
     large = sizes.where(F.col("n") > BLOCK_ROWS).select("part")
@@ -277,7 +277,7 @@ def exclusive(values: DataFrame, rules: Rules) -> DataFrame:
     twins = staged(values.where(F.col("twin") & (F.col("target") >= rules.accept)).select(F.col("a").alias("e1"), F.col("b").alias("e2")), "twins")
     twins = twins.unionByName(twins.select(F.col("e1").alias("e2"), F.col("e2").alias("e1")))
     sure = staged(values.where(~F.col("twin") & (F.col("value") >= rules.accept - 10 * rules.tolerance)), "sure")
-    order = F.struct(-F.col("value"), -F.col("target"), "a", "b").alias("order")
+    order = F.struct(-F.round("value", 2), -F.col("target"), "a", "b").alias("order")  # the values are as near as the tolerance
     ends = sure.select(F.col("a").alias("hub"), F.col("source_b").alias("in"), F.col("b").alias("end"), "pair", order).unionByName(
         sure.select(F.col("b").alias("hub"), F.col("source_a").alias("in"), F.col("a").alias("end"), "pair", order)
     )
@@ -298,7 +298,7 @@ def exclusive(values: DataFrame, rules: Rules) -> DataFrame:
 def link(events: DataFrame, rules: Rules | None = None) -> DataFrame:
     """(a, b, confidence), a < b: rows of different sources that report the same earthquake.
 
-    events: id, source, us (microseconds), lat, lon. Rows with a null id, source or time match
+    events: id (bigint), source, us (microseconds), lat, lon. Rows with a null id, source or time match
     nothing; rows without a usable place match by time alone, at a cost; repeated rows count
     once. Of a row's pairs into one source the surest is kept, and another one only if the two
     partners are twins by their own times and places.
@@ -308,8 +308,8 @@ def link(events: DataFrame, rules: Rules | None = None) -> DataFrame:
     clean = staged(clean.select("id", "source", "us", "lat", "lon").distinct(), "events")
     pairs = staged(candidate_pairs(clean, rules), "pairs")
     ground = staged(grounded(pairs, rules), "ground")
-    parts = linked_groups(ground.select(F.col("a").alias("id1"), F.col("b").alias("id2")))
-    ground = staged(ground.join(parts.select(F.col("id").alias("a"), F.col("group_id").alias("part")), "a"), "parted")
+    parts = connected_groups(ground.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    ground = staged(ground.join(parts.select(F.col("v").alias("a"), F.col("group").alias("part")), "a"), "parted")
     values = ground.withColumn("value", _clipped(F.col("target")))
     copies: DataFrame | None = None
     known: DataFrame | None = None
