@@ -128,6 +128,13 @@ def two_piece_fits(pairs: DataFrame, by: list[str], hinge: float = 2.0) -> DataF
     return upper.join(low, by, "left")
 
 
+def model_rows(fits: DataFrame, hinge: float = 2.0) -> DataFrame:
+    """(mag_type, mag_author, seg, slope, intercept): two_piece_fits as the table of models, a row for each piece that is known."""
+    piece = lambda seg, a, b: F.struct(F.lit(f"{seg}{hinge:g}").alias("seg"), F.col(a).alias("slope"), F.col(b).alias("intercept"))
+    rows = fits.select("mag_type", "mag_author", F.explode(F.array(piece(">=", "slope", "intercept"), piece("<", "slope_low", "intercept_low"))).alias("p"))
+    return rows.select("mag_type", "mag_author", "p.*").where(F.col("slope").isNotNull() & F.col("intercept").isNotNull())
+
+
 def fit_diagnostics(pairs: DataFrame, by: list[str], hinge: float = 2.0) -> DataFrame:
     """Of each group's upper line (see two_piece_fits): n, sigma2, r2, band (sample deviation), bic, outliers.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.functions.seismic import fixed
+from quakeloom.operators import statistics
 from quakeloom.operators.inventory import delays_by_station, numbered_codes
 from quakeloom.plans import catalog, picks
 from quakeloom.session import new_stage_path, staged, table
@@ -231,6 +232,23 @@ def quakeml_picks_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quakeml(spark, sf_dir)[1].groupBy("code", "phase", "us", "channel").agg(F.count("*").alias("n"))
 
 
+# models
+
+
+_SEGMENTS = picks._FIT.partition("SELECT f.mag_type")[0] + f""", w AS (SELECT f.mag_type, f.mag_author, slope, intercept, slope_low, slope * 2 + intercept - slope_low * 2 AS intercept_low FROM f LEFT JOIN p USING (mag_type, mag_author))
+SELECT mag_type, mag_author, '>=2' AS seg, {_FIXED("slope", 4)} AS slope, {_FIXED("intercept", 4)} AS intercept FROM w
+UNION ALL SELECT mag_type, mag_author, '<2', {_FIXED("slope_low", 4)}, {_FIXED("intercept_low", 4)} FROM w WHERE slope_low IS NOT NULL"""
+
+
+@query(_SEGMENTS)
+def models_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted models written as a table of models, a row a segment, and read again."""
+    fits = statistics.two_piece_fits(picks._mag_pairs(spark, sf_dir), ["mag_type", "mag_author"]).where("n >= 10")
+    path = _csv(statistics.model_rows(fits), "models", header=True)
+    back = spark.read.csv(path, header=True, schema="mag_type string, mag_author string, seg string, slope double, intercept double")
+    return back.select("mag_type", "mag_author", "seg", fixed(F.col("slope"), 4).alias("slope"), fixed(F.col("intercept"), 4).alias("intercept"))
+
+
 # stations
 
 

@@ -495,3 +495,12 @@ def renamed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def least_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose greatest magnitude is at least 1."""
     return mags(spark, sf_dir).groupBy("event_uid").agg(F.max("mag").alias("mag")).where("mag >= 1")
+
+
+@query("""WITH l AS (SELECT code, max_by(latitude, site_id) AS latitude, max_by(longitude, site_id) AS longitude, max_by(elevation, site_id) AS elevation FROM station_site GROUP BY code)
+SELECT printf('GTSRCE %s LATLON %.4f %.4f 0 %.4f', code, floor(latitude * 1e4 + 5e-1) / 1e4, floor(longitude * 1e4 + 5e-1) / 1e4, abs(elevation) / 1000e0) AS line FROM l""")
+def gtsrce_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station lines of all stations with four decimals and the elevation without its sign."""
+    last = table(spark, sf_dir, "station_site").groupBy("code").agg(F.max(F.struct("site_id", "latitude", "longitude", "elevation")).alias("s"))
+    place = [fixed(F.col(f"s.{c}"), 4) for c in ("latitude", "longitude")]
+    return last.select(F.format_string("GTSRCE %s LATLON %.4f %.4f 0 %.4f", "code", *place, F.abs("s.elevation") / 1000).alias("line"))
